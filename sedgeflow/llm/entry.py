@@ -33,10 +33,24 @@ def op5_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedgeflow.llm.decontaminate import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedgeflow.llm.mixing import schedule
+
+    return schedule(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op3_token_files, op4_token_counts, op5_quality_bands]
+    made = [op3_token_files, op4_token_counts, op5_quality_bands, op8_decontamination, op9_mixing]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from sedgeflow.llm import decontaminate, mixing
+
+    return {"op8_decontamination": decontaminate.SQL, "op9_mixing": mixing.SQL}
