@@ -45,8 +45,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedgeflow.llm.simhash import hexadecimal, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hexadecimal(found["fp"]).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op3_token_files, op4_token_counts, op5_quality_bands, op8_decontamination, op9_mixing]
+    made = [op3_token_files, op4_token_counts, op5_quality_bands, op8_decontamination, op9_mixing, op10_simhash]
     return {f.__name__: f for f in made}
 
 
