@@ -33,6 +33,13 @@ def op5_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedgeflow.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sedgeflow.llm.decontaminate import report
 
@@ -53,7 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op3_token_files, op4_token_counts, op5_quality_bands, op8_decontamination, op9_mixing, op10_simhash]
+    made = [op3_token_files, op4_token_counts, op5_quality_bands, op7_toxicity, op8_decontamination, op9_mixing, op10_simhash]
     return {f.__name__: f for f in made}
 
 
