@@ -15,12 +15,25 @@ import re
 import sys
 from array import array
 
-#: Pieces that a worker remembers (about 150 MB); beyond this it starts afresh.
-PIECES = 400_000
+#: Pieces that a worker remembers (about 200 MB); beyond this it starts afresh.
+PIECES = 1_000_000
 #: Distinct new pieces that one call of the library encodes.
 BATCH = 4096
 
 _CUT = re.compile(r" (?=\S)")
+#: A piece of letters only: the pre-tokenizer leaves it whole, so the model takes it at once.
+_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models write for each byte: visible Latin-1 characters stand for
+    themselves, the other bytes in turn for the characters from 256 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b != 32]
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
+_BYTES = _byte_letters()
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -70,34 +83,30 @@ class Encoder:
         head, *rest = _CUT.split(text)
         return [head, *[" " + x for x in rest]]
 
-    def learn(self, pieces: list[str], later: list[list[str] | None] = ()) -> None:
-        """All new pieces, and those of the texts that come next while there is room."""
-        new = {p for p in pieces if p not in self.ids}
-        new.update(p for parts in later if parts for p in parts if p not in self.ids)
+    def learn(self, cut: list[list[str] | None]) -> None:
+        """Asks the library for the pieces of some texts that aren't known yet."""
+        pieces = set().union(*(x for x in cut if x))
+        new = [p for p in pieces if p not in self.ids]
         if len(self.ids) + len(new) > PIECES:
             self.ids.clear()
-            new = set(pieces)
-        todo = list(new)
-        for i in range(0, len(todo), BATCH):
-            part = todo[i : i + BATCH]
+            new = list(pieces)
+        for p in filter(_LETTERS.fullmatch, new):
+            self.ids[p] = self._word(p)
+        new = [p for p in new if p not in self.ids]
+        for i in range(0, len(new), BATCH):
+            part = new[i : i + BATCH]
             for p, ids in zip(part, self.whole(part), strict=True):
                 self.ids[p] = self._bytes(ids)
 
+    def _word(self, piece: str) -> bytes:
+        return self._bytes([t.id for t in self.lib.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as unsigned 32-bit little-endian integers. What's new in these texts
-        goes to the library together."""
+        """Each text's ids as unsigned 32-bit little-endian integers."""
         cut = [self.pieces(t) if t else [] for t in texts]
-        out: list[bytes] = []
-        for t, parts in zip(texts, cut, strict=True):
-            if parts is None:
-                out.append(self._bytes(self.whole([t])[0]))
-                continue
-            try:
-                out.append(b"".join(map(self.ids.__getitem__, parts)))
-            except KeyError:
-                self.learn(parts, cut[len(out) + 1 :])
-                out.append(b"".join(map(self.ids.__getitem__, parts)))
-        return out
+        self.learn(cut)
+        known = self.ids.__getitem__
+        return [self._bytes(self.whole([t])[0]) if parts is None else b"".join(map(known, parts)) for t, parts in zip(texts, cut, strict=True)]
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
