@@ -15,6 +15,12 @@ def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedgeflow.llm.substring_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sedgeflow.llm.token_files import round_trip
 
@@ -60,7 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op3_token_files, op4_token_counts, op5_quality_bands, op7_toxicity, op8_decontamination, op9_mixing, op10_simhash]
+    made = [op2_substring_dedup, op3_token_files, op4_token_counts, op5_quality_bands, op7_toxicity, op8_decontamination, op9_mixing, op10_simhash]
     return {f.__name__: f for f in made}
 
 
