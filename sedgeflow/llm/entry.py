@@ -15,6 +15,13 @@ def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedgeflow.llm.url_filter import judge_urls, unigrams
+
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, unigrams(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sedgeflow.llm.substring_dedup import deduplicate
 
@@ -39,6 +46,12 @@ def op5_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sedgeflow.llm.revisits import captures, digest, resolve_revisits
+
+    return digest(resolve_revisits(captures(table(spark, sf_dir, "pages"))))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sedgeflow.llm.toxicity import learn, score
 
@@ -66,11 +79,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op2_substring_dedup, op3_token_files, op4_token_counts, op5_quality_bands, op7_toxicity, op8_decontamination, op9_mixing, op10_simhash]
+    made = [op1_url_filter, op2_substring_dedup, op3_token_files, op4_token_counts, op5_quality_bands, op6_revisits, op7_toxicity, op8_decontamination, op9_mixing, op10_simhash]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    from sedgeflow.llm import decontaminate, mixing
+    from sedgeflow.llm import decontaminate, mixing, revisits
 
-    return {"op8_decontamination": decontaminate.SQL, "op9_mixing": mixing.SQL}
+    return {"op6_revisits": revisits.SQL, "op8_decontamination": decontaminate.SQL, "op9_mixing": mixing.SQL}
