@@ -57,13 +57,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stage(df: DataFrame, path: str) -> DataFrame:
+def stage(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """df as a written table: what follows doesn't depend on any executor's memory or disk."""
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, compression=compression)
     df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is done
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The cluster's own number of shuffle partitions; it grows with the cluster and the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,11 +6,12 @@ words in it the one with the least hash, the last of equals. Equal windows choos
 1. anchors that occur in two documents or more are found by one aggregation of a few rows for each
    hundred words;
 2. the passages around them (the windows that choose one place, at most 2 * window - phrase words)
-   are aggregated by their text, which gives each the first document that holds it; passages that
-   recur, whole or by a window that they share, are confirmed;
-3. documents are dealt into shards; each gets the confirmed passages that its documents' anchors ask
-   for, compiles an Aho-Corasick automaton of their phrases over word numbers, and streams its
-   documents through it. Every occurrence of a phrase is extended along the passages of earlier
+   are aggregated by their hash, which gives each the first document that holds it; a document's
+   passage is confirmed to recur if an earlier document holds all of it, else the windows that an
+   earlier document's passage shares with it are, each by the first of such passages;
+3. documents are dealt into shards; each gets the confirmed passages that its documents ask for,
+   compiles an Aho-Corasick automaton of their phrases over word numbers, and streams its documents
+   through it. Every occurrence of a phrase is extended along the passages of earlier
    documents, word by word, so that hashes decide nothing.
 """
 
@@ -24,14 +25,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeflow.llm.common import bounded, partitions, pick, shared_dir, stage
+from sedgeflow.llm.common import bounded, drop, partitions, pick, shared_dir, stage
 
 WINDOW, PHRASE = 50, 16
 #: Shards of documents for each shuffle partition; a task has one automaton at a time.
-SHARDS = 4
+SHARDS = 2
 #: Word hashes that a worker remembers.
 WORDS = 500_000
 
@@ -96,32 +97,37 @@ def _passages(words: list[bytes], wanted: set[int], window: int, phrase: int) ->
     return {(h, b" ".join(words[a : b + window])): p - a for h, p, a, b in zip(hashes.tolist(), places.tolist(), first.tolist(), last.tolist(), strict=True) if h in wanted}
 
 
-def _confirmed(passages: DataFrame, folder: str, window: int) -> DataFrame:
-    """Those that recur whole, and those that share a window with a passage of another first document."""
+def _key(passage: bytes) -> int:
+    return xxhash.xxh64_intdigest(passage) - (1 << 63)
+
+
+def _needs(spark: SparkSession, held: DataFrame, folder: str, window: int, shards: int) -> DataFrame:
+    """shard, kind 0, id (first), text, at: the confirmed passages that each shard's documents ask for.
+
+    held has the passages of all documents: anchor, key, id, at, text. Only the rows of first
+    documents are read with their texts. A window that many passages share asks for one of them, so
+    what is sent grows with the passages and never with their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for anchor, text, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = _rolling(_word_hashes(text.encode().split()), window).view(np.int64)
-                key = xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
-                for column, values in zip(out, (repeat(anchor, len(found)), found.tolist(), repeat(key, len(found)), repeat(first, len(found))), strict=True):
+            for anchor, key, first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = np.unique(_rolling(_word_hashes(text.encode().split()), window).view(np.int64)).tolist()
+                for column, values in zip(out, (repeat(anchor, len(found)), found, repeat(key, len(found)), repeat(first, len(found))), strict=True):
                     column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["anchor", "window", "passage", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["anchor", "window", "key", "first"])
 
-    several = passages.groupBy("anchor").count().where("count > 1").select("anchor")
-    windows = stage(passages.join(several, "anchor", "left_semi").select("anchor", "text", "first").mapInArrow(run, "anchor long, window long, passage long, first long"), f"{folder}/windows")
-    shared = windows.groupBy("anchor", "window").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b")
-    partly = windows.join(shared, ["anchor", "window"], "left_semi").select("anchor", "passage").distinct().withColumn("partly", F.lit(True))
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "passage"])
-
-    named = passages.mapInArrow(key, "anchor long, text string, first long, last long, at int, passage long")
-    kept = named.join(partly, ["anchor", "passage"], "left").where("first < last OR partly")
-    return stage(kept.select("anchor", "text", "first", "at"), f"{folder}/confirmed")
+    firsts = stage(held.groupBy("anchor", "key").agg(F.min("id").alias("first")), f"{folder}/firsts")
+    texts = held.select("anchor", "key", F.col("id").alias("first"), "at", "text").join(firsts, ["anchor", "key", "first"], "left_semi")
+    several = firsts.groupBy("anchor").count().where("count > 1").select("anchor")
+    windows = stage(texts.join(several, "anchor", "left_semi").select("anchor", "key", "first", "text").mapInArrow(run, "anchor long, window long, key long, first long"), f"{folder}/windows")
+    owner = windows.groupBy("anchor", "window").agg(F.min(F.struct("first", "key")).alias("o"))
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+    partly = windows.join(owner, ["anchor", "window"]).where("o.first < first").select(F.col("first").alias("id"), "anchor", F.col("o.key").alias("key")).select(shard, "anchor", "key")
+    wholly = held.select("anchor", "key", "id").join(firsts, ["anchor", "key"]).where("first < id").select(shard, "anchor", "key")
+    asked = stage(partly.unionByName(wholly).distinct(), f"{folder}/asked")
+    drop(spark, f"{folder}/windows")
+    return asked.join(texts, ["anchor", "key"]).select("shard", F.lit(0).alias("kind"), F.col("first").alias("id"), "text", "at")
 
 
 class Shard:
@@ -207,27 +213,25 @@ def deduplicate(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep_
 
     pairs = stage(docs.where("id IS NOT NULL").mapInArrow(scan, "anchor long, id long"), f"{folder}/pairs")
     recurring = pairs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    asked = stage(pairs.join(recurring, "anchor", "left_semi"), f"{folder}/asked")
+    own = stage(pairs.join(recurring, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), f"{folder}/anchors")
+    drop(spark, f"{folder}/pairs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for i, t, wanted in zip(*(batch.column(k) for k in range(3)), strict=True):
                 i = i.as_py()
-                for (anchor, text), at in _passages(t.as_py().encode().split(), set(wanted.as_py()), window, phrase).items():
-                    for column, value in zip(out, (anchor, text.decode(), at, i), strict=True):
+                for (anchor, passage), at in _passages(t.as_py().encode().split(), set(wanted.as_py()), window, phrase).items():
+                    for column, value in zip(out, (anchor, _key(passage), i, at, passage.decode()), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], names=["anchor", "text", "at", "id"])
-
-    own = asked.groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    found = docs.where("text IS NOT NULL").join(own, "id").select("id", "text", "anchors").mapInArrow(cut, "anchor long, text string, at int, id long")
-    passages = stage(found.groupBy("anchor", "text").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("at").alias("at")).select("anchor", "text", "first", "last", "at"), f"{folder}/passages")
-    confirmed = _confirmed(passages, folder, window)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "key", "id", "at", "text"])
 
+    found = docs.where("text IS NOT NULL").join(own, "id").select("id", "text", "anchors").mapInArrow(cut, "anchor long, key long, id long, at int, text string")
+    held = stage(found, f"{folder}/passages", compression="zstd")
     shards = SHARDS * partitions(spark)
+    sent = _needs(spark, held, folder, window, shards)
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    needs = asked.select(shard.alias("shard"), "anchor").distinct()
-    sent = needs.join(confirmed, "anchor").select("shard", F.lit(0).alias("kind"), F.col("first").alias("id"), "text", "at")
     rows = sent.unionByName(docs.select(shard.alias("shard"), F.lit(1).alias("kind"), "id", "text", F.lit(0).alias("at")))
     dealt = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "kind")
 
