@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """df as a written table: what follows doesn't depend on any executor's memory or disk."""
     df.write.mode("errorifexists").parquet(path, compression=compression)
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is done
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

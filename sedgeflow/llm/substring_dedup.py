@@ -93,6 +93,8 @@ def anchors(words: list[bytes], window: int = WINDOW, phrase: int = PHRASE) -> t
 def _passages(words: list[bytes], wanted: set[int], window: int, phrase: int) -> dict[tuple[int, bytes], int]:
     """(anchor, text of the passage around it): place of the anchor in the passage."""
     hashes, places, first = anchors(words, window, phrase)
+    if not len(first):
+        return {}
     last = np.r_[first[1:], len(words) - window + 1] - 1
     return {(h, b" ".join(words[a : b + window])): p - a for h, p, a, b in zip(hashes.tolist(), places.tolist(), first.tolist(), last.tolist(), strict=True) if h in wanted}
 
@@ -118,34 +120,52 @@ def _needs(spark: SparkSession, held: DataFrame, folder: str, window: int, shard
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["anchor", "window", "key", "first"])
 
     firsts = stage(held.groupBy("anchor", "key").agg(F.min("id").alias("first")), f"{folder}/firsts")
-    texts = held.select("anchor", "key", F.col("id").alias("first"), "at", "text").join(firsts, ["anchor", "key", "first"], "left_semi")
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+    asked = stage(held.select("anchor", "key", "id").join(firsts, ["anchor", "key"]).where("first < id").select(shard, "anchor", "key").distinct(), f"{folder}/wholly")
+    texts = stage(held.join(firsts, ["anchor", "key"]).where("id = first").select("anchor", "key", "first", "at", "text"), f"{folder}/texts", compression="zstd")
+    drop(spark, f"{folder}/passages")
     several = firsts.groupBy("anchor").count().where("count > 1").select("anchor")
-    windows = stage(texts.join(several, "anchor", "left_semi").select("anchor", "key", "first", "text").mapInArrow(run, "anchor long, window long, key long, first long"), f"{folder}/windows")
+    several = firsts.join(several, "anchor", "left_semi").select("anchor", "key")
+    windows = stage(texts.join(several, ["anchor", "key"], "left_semi").select("anchor", "key", "first", "text").mapInArrow(run, "anchor long, window long, key long, first long"), f"{folder}/windows")
     owner = windows.groupBy("anchor", "window").agg(F.min(F.struct("first", "key")).alias("o"))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
     partly = windows.join(owner, ["anchor", "window"]).where("o.first < first").select(F.col("first").alias("id"), "anchor", F.col("o.key").alias("key")).select(shard, "anchor", "key")
-    wholly = held.select("anchor", "key", "id").join(firsts, ["anchor", "key"]).where("first < id").select(shard, "anchor", "key")
-    asked = stage(partly.unionByName(wholly).distinct(), f"{folder}/asked")
-    drop(spark, f"{folder}/windows")
+    asked = stage(partly.distinct().unionByName(asked).distinct(), f"{folder}/asked")
+    drop(spark, f"{folder}/windows", f"{folder}/wholly", f"{folder}/firsts")
     return asked.join(texts, ["anchor", "key"]).select("shard", F.lit(0).alias("kind"), F.col("first").alias("id"), "text", "at")
 
 
+#: Characters that write one word of a shard.
+DIGITS = 3
+
+
 class Shard:
-    """The passages of a shard's documents, and the automaton of their phrases."""
+    """The passages of a shard's documents, and the automaton of their phrases.
+
+    Words are numbered and written with DIGITS characters, each place with an alphabet of its own,
+    so that matches start at words and no node of the automaton has many children. Words that no
+    passage has are all written alike."""
 
     def __init__(self, window: int, phrase: int):
         self.window, self.phrase = window, phrase
-        self.numbers: dict[bytes, int] = {}
-        self.passages: dict[tuple[int, ...], list[tuple[int, int, tuple[int, ...]]]] = {}
+        self.passages: list[tuple[int, int, list[bytes]]] = []
+        self.codes: dict[bytes, str] = {}
         self.automaton: ahocorasick.Automaton | None = None
 
     def add(self, first: int, text: str, at: int) -> None:
-        words = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.encode().split())
-        self.passages.setdefault(words[at : at + self.phrase], []).append((first, at, words))
+        self.passages.append((first, at, text.encode().split()))
 
     def compile(self) -> None:
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, found in self.passages.items():
+        known = {w for _, _, words in self.passages for w in words}
+        base = next(b for b in range(16, 1 << 20) if b**DIGITS >= len(known))
+        for n, w in enumerate(known):
+            self.codes[w] = "".join(chr(2 + k * base + n // base**k % base) for k in range(DIGITS))
+        phrases: dict[str, set[tuple[int, int, str]]] = {}
+        for first, at, words in self.passages:
+            own = "".join(map(self.codes.__getitem__, words))
+            phrases.setdefault(own[DIGITS * at : DIGITS * (at + self.phrase)], set()).add((first, at, own))
+        self.passages = []
+        self.automaton = ahocorasick.Automaton()
+        for phrase, found in phrases.items():
             self.automaton.add_word(phrase, sorted(found))
         if len(self.automaton):
             self.automaton.make_automaton()
@@ -157,18 +177,19 @@ class Shard:
             self.compile()
         if doc_id is None or len(words) < self.window or not len(self.automaton):
             return edge[:-1] > 0
-        numbers = tuple(map(self.numbers.get, words, repeat(0)))
+        text = "".join(map(self.codes.get, words, repeat("\x01" * DIGITS)))
         done = (0, 0)  # the last range that was covered
-        for end, found in self.automaton.iter(numbers):
-            start = end - self.phrase + 1
+        for end, found in self.automaton.iter(text):
+            start = (end + 1) // DIGITS - self.phrase
             for first, at, own in found:
                 if first >= doc_id:
                     break  # they are in order of their first documents
-                lo, hi = start - at, start - at + len(own)
+                lo = start - at
+                hi = lo + len(own) // DIGITS
                 if done[0] <= lo and hi <= done[1]:
                     continue
-                if lo < 0 or numbers[lo:hi] != own:
-                    lo, hi = self._extended(numbers, start, own, at)
+                if lo < 0 or not text.startswith(own, DIGITS * lo):
+                    lo, hi = self._extended(text, start, own, at)
                     if hi - lo < self.window or (done[0] <= lo and hi <= done[1]):
                         continue
                 edge[lo] += 1
@@ -176,13 +197,14 @@ class Shard:
                 done = (min(lo, done[0]), max(hi, done[1])) if lo <= done[1] and done[0] <= hi else (lo, hi)
         return np.cumsum(edge[:-1]) > 0
 
-    def _extended(self, numbers: tuple[int, ...], start: int, own: tuple[int, ...], at: int) -> tuple[int, int]:
+    def _extended(self, text: str, start: int, own: str, at: int) -> tuple[int, int]:
         """The longest range of words around the phrase in which document and passage agree."""
-        left = 0
-        while left < min(at, start) and numbers[start - left - 1] == own[at - left - 1]:
+        size = DIGITS
+        left, most = 0, min(at, start)
+        while left < most and text.startswith(own[(at - left - 1) * size : (at - left) * size], (start - left - 1) * size):
             left += 1
-        right, most = self.phrase, min(len(own) - at, len(numbers) - start)
-        while right < most and numbers[start + right] == own[at + right]:
+        right, most = self.phrase, min(len(own) // size - at, len(text) // size - start)
+        while right < most and text.startswith(own[(at + right) * size : (at + right + 1) * size], (start + right) * size):
             right += 1
         return start - left, start + right
 
