@@ -46,7 +46,7 @@ class _Keyed(StatefulProcessor):
         self.seen = handle.getValueState("seen", _SEEN, ttlDurationMs=self.days * 86_400_000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable").reset_index(drop=True)
+        batch = pd.concat(list(rows)).drop(columns=["key"]).sort_values("seq", kind="stable").reset_index(drop=True)
         known = self.seen.get()[0] if self.seen.exists() else None
         before = known
         classes, reasons = [], []
@@ -56,7 +56,7 @@ class _Keyed(StatefulProcessor):
             reasons.append(why)
         if known is not None and known != before:
             self.seen.update((known,))
-        yield batch.drop(columns=["key"]).assign(**{"class": classes, "reason": reasons})
+        yield batch.assign(**{"class": classes, "reason": reasons})
 
     def judge(self, row, known, timers) -> tuple[str, str | None, str | None]:
         raise NotImplementedError
@@ -122,13 +122,15 @@ def classified(rows: DataFrame, source: str) -> DataFrame:
 
 def run(raw: DataFrame, source: str, path: str, interval: str | None = None):
     """Starts the stream: facts, duplicates, late and quarantined rows under path, by class and
-    micro-batch. A batch that is run again replaces what it wrote."""
+    micro-batch. A batch that is run again replaces what it wrote. Without an interval one
+    micro-batch is run: processors in processing time always ask for another one, so a trigger that
+    waits for the last one would never end."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("class", "batch").parquet(f"{path}/rows")
 
     made = classified(prepared(raw, source), source).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
-    return (made.trigger(processingTime=interval) if interval else made.trigger(availableNow=True)).start()
+    return (made.trigger(processingTime=interval) if interval else made.trigger(once=True)).start()
 
 
 def sessions(rows: DataFrame, gap_minutes: int = 30) -> DataFrame:

@@ -14,9 +14,11 @@ from sedgeflow.streaming import dedup, upsert
 
 @pytest.fixture
 def stream_spark(spark):
-    for k, v in STREAM_SETTINGS.items():
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for k, v in (STREAM_SETTINGS | {"spark.sql.shuffle.partitions": "1"}).items():
         spark.conf.set(k, v)
-    return spark
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def row(seq, event_id, at, kind="page_view", **more):
@@ -39,7 +41,7 @@ def test_classes(stream_spark, tmp_path):
     for n, rows in enumerate(phases):
         (src / f"{n}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
         q = dedup.run(stream_events(stream_spark, str(src)), "synthetic", str(out))
-        q.awaitTermination(120)
+        assert q.awaitTermination(300)
     got = {r.seq: (r["class"], r.reason) for r in stream_spark.read.parquet(str(out / "rows")).collect()}
     fact = ("fact", None)
     assert got == {
