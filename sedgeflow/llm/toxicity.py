@@ -130,9 +130,11 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
     fold (crc32 of the id's text mod 5 is 0). Only id, text and label are read.
 
     A pattern's weight is the log odds of the share of toxic and other texts that hold it; equal
-    texts count once. Of the candidates the ones that reach most toxic texts not reached so far
-    are taken in turn, the longer of two equals, until none reaches SUPPORT more: a text that was
-    copied a lot, all of whose words look toxic, adds at most one entry.
+    texts count once. Candidates are taken in turn by the toxic texts that they reach, less the
+    others, the longer of two equals; a text counts half with each entry that it holds already,
+    and none is taken for less than SUPPORT. So a text that was copied a lot, all of whose words
+    look toxic, adds a few entries, and a common word of abuse is taken though it mostly comes
+    with others.
     """
     bounded(docs.sparkSession)
     ids = pick(labels, doc_id="long", toxic="int").where("doc_id IS NOT NULL AND toxic IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
@@ -162,23 +164,25 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exce
             yield pa.RecordBatch.from_pydict({"held": pa.array(held, pa.list_(pa.string()))})
 
     reached = [set(r["held"]) for r in texts.where("toxic = 1").mapInArrow(incidence, "held array<string>").collect()]
-    left: Counter = Counter(p for held in reached for p in held)
     of: dict[str, list[int]] = {}
     for i, held in enumerate(reached):
         for p in held:
             of.setdefault(p, []).append(i)
+    worth = [1.0] * len(reached)  # of a toxic text that holds a pattern; halved with each entry it holds
+    gain = {p: float(len(texts_of)) for p, texts_of in of.items()}
     entries: dict[str, float] = {}
-    done: set[int] = set()
-    while left and len(entries) < ENTRIES:
-        best = max(left, key=lambda p: (left[p] - candidates[p][1], len(p), p))
-        if left[best] < SUPPORT:
+    while gain and len(entries) < ENTRIES:
+        best = max(gain, key=lambda p: (gain[p] - candidates[p][1], len(p), p))
+        if gain[best] - candidates[best][1] < SUPPORT:
             break
         toxic, other = candidates[best]
         entries[best] = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((other + 0.5) / (n_other + 1))
-        for i in set(of[best]) - done:
-            done.add(i)
-            left.subtract(reached[i])
-        left.pop(best, None)
+        del gain[best]
+        for i in of[best]:
+            worth[i] /= 2
+            for p in reached[i]:
+                if p in gain:
+                    gain[p] -= worth[i]
     half = Lexicon(entries, exceptions, (0.0, 0.0, 0.0))
     rows = _signals(texts, half).collect()
     x, y = np.array([[r["total"], r["dense"]] for r in rows], float).reshape(-1, 2), np.array([r["toxic"] == 1 for r in rows], float)
