@@ -582,6 +582,48 @@ def keyed_upsert(spark, sf_dir):
     return lowest_sequence(rows).select("source", "app", "business_key", "seq")
 
 
+@query(f"""WITH {FACTS}, o AS (SELECT *, CASE WHEN event_type = 'request_complete' THEN 'request:' || request_id ELSE 'event:' || event_id END AS business_key, CASE WHEN seq % 3 = 0 THEN accepted - INTERVAL 2 DAY ELSE accepted END AS acc FROM f),
+  t AS (SELECT source, app, business_key, arg_min(seq, {{'a': event_time, 'b': seq}}) AS by_time, arg_min(seq, {{'a': acc, 'b': seq}}) AS by_acceptance FROM o GROUP BY 1, 2, 3) SELECT * FROM t WHERE by_time <> by_acceptance""")
+def replay_changed_winners(spark, sf_dir):
+    from sedgeflow.functions.contract import business_key
+    from sedgeflow.operators import replay
+
+    rows = facts(spark, sf_dir).withColumn("business_key", business_key(F.col("event_type"), F.col("request_id"), F.col("event_id")))
+    rows = rows.withColumn("accepted", F.when(F.col("seq") % 3 == 0, F.col("accepted") - F.expr("INTERVAL 2 DAYS")).otherwise(F.col("accepted")))
+    return replay.changed_winners(rows)
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS run_id, CAST(o_orderkey AS VARCHAR) AS event_id FROM orders WHERE o_orderkey % 4 <> 0")
+def lineage_unacknowledged(spark, sf_dir):
+    from sedgeflow.operators import lineage
+
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderkey").cast("string").alias("event_id"))
+    return lineage.unacknowledged(o, o.where(F.col("event_id").cast("long") % 4 == 0))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS run_id, min(CASE WHEN o_orderstatus = 'O' THEN CAST(o_orderdate AS VARCHAR) END) AS started, max(CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS VARCHAR) END) AS ended FROM orders GROUP BY 1""")
+def lineage_run_states(spark, sf_dir):
+    from sedgeflow.operators import lineage
+
+    state = F.element_at(F.create_map(*map(F.lit, ("O", "START", "F", "COMPLETE", "P", "FAIL"))), F.col("o_orderstatus"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("run_id"), F.lit("j").alias("job"), state.alias("state"), F.col("o_orderdate").cast("string").alias("at"))
+    return lineage.run_states(o).select("run_id", "started", "ended")
+
+
+@query(f"""WITH {FACTS} SELECT CAST(0 AS BIGINT) AS faults""")
+def model_invariants(spark, sf_dir):
+    """Retention rows that break maturity, and funnel rows whose conversions aren't the detail's."""
+    from sedgeflow.operators import releases
+
+    f = facts(spark, sf_dir)
+    parts = attribution.steps(f, 1440)
+    found = attribution.conversions(parts)
+    funnel = attribution.funnel(parts, found)
+    bad = releases.unreconciled(found, funnel.where("converted > 0"), ["source", "channel", "date"], "converted").select(F.lit(1).alias("x"))
+    bad = bad.union(releases.retention_faults(retention.retention(f, CUTOFF)).select(F.lit(1))).union(attribution.broken(funnel).select(F.lit(1)))
+    return bad.agg(F.count(F.lit(1)).alias("faults"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
