@@ -60,6 +60,7 @@ def schedule(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: floa
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))  # null is a source of its own
     dealt = sized.withColumn("_s", source).join(targets.select(F.col("n"), "source_size", "target", source.alias("_s")), "_s").withColumn("bucket", F.floor(place * buckets / F.lit(1 << 32)))
+    dealt = dealt.repartition(partitions(spark), "_s", "bucket")  # else sums would be dealt by source alone
     in_bucket = Window.partitionBy("_s", "bucket").orderBy("mark", "id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     of_source = Window.partitionBy("_s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("_s", "bucket").agg(F.sum("size").alias("words")).select("_s", "bucket", F.coalesce(F.sum("words").over(of_source), F.lit(0)).alias("base"))
