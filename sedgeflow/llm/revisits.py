@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgeflow.llm.common import lower_ascii, pick, shared_dir, stage
+from sedgeflow.llm.common import lower_ascii, partitions, pick, shared_dir, stage
 
 # Header fields that a 304 response may renew (RFC 9110, section 15.4.5; RFC 9111, section 3.2).
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -75,7 +75,8 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     group = Window.partitionBy("canonical", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     spans = narrow.where("full").groupBy("canonical", "span").agg(F.max(F.struct("at", "record_id")).alias("last"))
     marks = spans.unionByName(narrow.where("revisit").select("canonical", "span").distinct().withColumn("last", F.lit(None).cast(spans.schema["last"].dataType)))
-    marks = marks.groupBy("canonical", "span").agg(F.max("last").alias("last"))
+    # Dealt by both before they are reduced, else a url's records would meet in one task.
+    marks = marks.repartition(partitions(spark), "canonical", "span").groupBy("canonical", "span").agg(F.max("last").alias("last"))
     carried = marks.select("canonical", "span", F.max("last").over(Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     near = narrow.withColumn("near", F.max(mine).over(group)).where("revisit")
     asof = near.join(carried, ["canonical", "span"]).select("_n", F.coalesce("near", "carried")["record_id"].alias("source_id"))
