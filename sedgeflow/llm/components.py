@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from sedgeflow.llm.common import shared_dir, stage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every greater neighbour of a node is tied to the least of the node and its neighbours."""
+def _large_star(edges: DataFrame, path: str) -> DataFrame:
+    """Every greater neighbour of a node is tied to the least of the node and its neighbours, which
+    is written first: a join of plain sides is one that adaptive execution can split."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), path)
     return both.where("b > a").join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
@@ -40,4 +41,4 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
         if seen[0] == 0 or seen == mark:
             return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark, k = seen, k + 1
-        current = stage(_small_star(_large_star(current)), f"{folder}/edges-{k}")
+        current = stage(_small_star(_large_star(current, f"{folder}/least-{k}")), f"{folder}/edges-{k}")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeflow.llm.common import bounded, partitions, pick, shared_dir, stage
@@ -167,7 +167,7 @@ def _keys(fp: Column, radius: int) -> Column:
     return F.array(*made)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, key_rows: int = KEY_ROWS) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, key_rows: int = KEY_ROWS, folder: str | None = None) -> DataFrame:
     """a, b: links of distinct fingerprints (columns fp, node) that join all that reach each other.
 
     The rows of a key are compared in one task, unless they are more than key_rows: then they are
@@ -176,7 +176,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, key_rows: int = KEY_ROWS) -> D
     """
     spark = nodes.sparkSession
     keyed = nodes.select("fp", "node", F.explode(_keys(F.col("fp"), radius)).alias("x")).select(F.col("x.k").alias("k"), F.col("x.v").alias("v"), "fp", "node")
-    sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k", "v"))).where("n > 1")
+    counts = stage(keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{folder or shared_dir(spark)}/keys")
+    sized = keyed.join(counts, ["k", "v"])  # plain sides: adaptive execution can split a hot key
     parts = F.ceil(F.col("n") / F.lit(key_rows / 2)).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     pairs = F.when(F.col("n") <= key_rows, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda t: F.least(t, own) * parts + F.greatest(t, own)))
@@ -221,7 +222,7 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
     folder = shared_dir(df.sparkSession)
     fps = stage(fingerprints(df, shingle, id_col, text_col), f"{folder}/fingerprints")
     nodes = stage(fps.groupBy("fp").agg(F.min("id").alias("node")).where("node IS NOT NULL"), f"{folder}/nodes")
-    parts = components(links(nodes, radius), folder)
+    parts = components(links(nodes, radius, folder=folder), folder)
     named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
