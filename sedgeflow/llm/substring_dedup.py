@@ -124,13 +124,14 @@ def _needs(spark: SparkSession, held: DataFrame, folder: str, window: int, shard
     asked = stage(held.select("anchor", "key", "id").join(firsts, ["anchor", "key"]).where("first < id").select(shard, "anchor", "key").distinct(), f"{folder}/wholly")
     texts = stage(held.join(firsts, ["anchor", "key"]).where("id = first").select("anchor", "key", "first", "at", "text"), f"{folder}/texts", compression="zstd")
     drop(spark, f"{folder}/passages")
-    several = firsts.groupBy("anchor").count().where("count > 1").select("anchor")
+    several = stage(firsts.groupBy("anchor").count().where("count > 1").select("anchor"), f"{folder}/several")
     several = firsts.join(several, "anchor", "left_semi").select("anchor", "key")
     windows = stage(texts.join(several, ["anchor", "key"], "left_semi").select("anchor", "key", "first", "text").mapInArrow(run, "anchor long, window long, key long, first long"), f"{folder}/windows")
-    owner = windows.groupBy("anchor", "window").agg(F.min(F.struct("first", "key")).alias("o"))
+    owner = windows.groupBy("anchor", "window").agg(F.min(F.struct("first", "key")).alias("o"), F.max("first").alias("last")).where("o.first < last").drop("last")
+    owner = stage(owner, f"{folder}/owner")
     partly = windows.join(owner, ["anchor", "window"]).where("o.first < first").select(F.col("first").alias("id"), "anchor", F.col("o.key").alias("key")).select(shard, "anchor", "key")
     asked = stage(partly.distinct().unionByName(asked).distinct(), f"{folder}/asked")
-    drop(spark, f"{folder}/windows", f"{folder}/wholly", f"{folder}/firsts")
+    drop(spark, f"{folder}/windows", f"{folder}/owner", f"{folder}/wholly", f"{folder}/firsts")
     return asked.join(texts, ["anchor", "key"]).select("shard", F.lit(0).alias("kind"), F.col("first").alias("id"), "text", "at")
 
 
@@ -234,9 +235,10 @@ def deduplicate(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep_
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(owner))], names=["anchor", "id"])
 
     pairs = stage(docs.where("id IS NOT NULL").mapInArrow(scan, "anchor long, id long"), f"{folder}/pairs")
-    recurring = pairs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
+    # What is joined is written first: adaptive execution splits hot keys of plain sides.
+    recurring = stage(pairs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor"), f"{folder}/recurring")
     own = stage(pairs.join(recurring, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), f"{folder}/anchors")
-    drop(spark, f"{folder}/pairs")
+    drop(spark, f"{folder}/pairs", f"{folder}/recurring")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
