@@ -38,7 +38,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         (F.col("event_id") + 1).alias("seq"),
         F.when(F.col("event_id") % 4 == 0, "synthetic").otherwise("real").alias("source"),
-        F.when(F.col("event_type").isin("view", "click"), "mywebsite").otherwise("project_snow").alias("app"),
+        F.when(F.col("event_type").isin("view", "click"), "site").otherwise("game").alias("app"),
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"),
         kind.alias("event_type"),
         at.alias("event_time"),
@@ -55,7 +55,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FACTS = """f AS (SELECT event_id + 1 AS seq, CASE WHEN event_id % 4 = 0 THEN 'synthetic' ELSE 'real' END AS source,
-  CASE WHEN event_type IN ('view', 'click') THEN 'mywebsite' ELSE 'project_snow' END AS app, lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id,
+  CASE WHEN event_type IN ('view', 'click') THEN 'site' ELSE 'game' END AS app, lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id,
   CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'entry_click' WHEN 'signup' THEN 'entry_arrival' WHEN 'error' THEN 'request_observed' WHEN 'purchase' THEN 'request_complete' END AS event_type,
   ts AS event_time, ts + INTERVAL 1 SECOND AS accepted, CAST(user_id AS VARCHAR) AS anonymous_id,
   CASE WHEN event_type = 'view' THEN '/' || regexp_extract(props, ':\\s*(\\d+)', 1) END AS path,
@@ -316,10 +316,10 @@ RELEASES = (("r1", 3, 10), ("r2", 10, 17), ("r3", 18, 25))
 
 def _dims(spark):
     """Three releases of one app with a gap in what was covered; r2 lacks the pages /0 to /9 of r1."""
-    rel = spark.createDataFrame([("real", "mywebsite", r, datetime(2024, 1, a, tzinfo=UTC), datetime(2024, 1, b, tzinfo=UTC)) for r, a, b in RELEASES], "source string, app string, release_id string, covered_from timestamp, covered_to timestamp")
+    rel = spark.createDataFrame([("real", "site", r, datetime(2024, 1, a, tzinfo=UTC), datetime(2024, 1, b, tzinfo=UTC)) for r, a, b in RELEASES], "source string, app string, release_id string, covered_from timestamp, covered_to timestamp")
     order = rel.select("source", "app", "release_id", F.col("covered_from").alias("release_at"))
     keys = spark.range(0, 60).select(F.concat(F.lit("/"), F.col("id").cast("string")).alias("key"), "id")
-    parts = [keys.where(c).select(F.lit("real").alias("source"), F.lit("mywebsite").alias("app"), F.lit(r).alias("release_id"), F.lit("page").alias("kind"), "key", F.concat(F.lit(r + ":"), F.col("key")).alias("dimension_id")) for r, c in (("r1", "id < 40"), ("r2", "id >= 10 AND id < 50"), ("r3", "id < 60"))]
+    parts = [keys.where(c).select(F.lit("real").alias("source"), F.lit("site").alias("app"), F.lit(r).alias("release_id"), F.lit("page").alias("kind"), "key", F.concat(F.lit(r + ":"), F.col("key")).alias("dimension_id")) for r, c in (("r1", "id < 40"), ("r2", "id >= 10 AND id < 50"), ("r3", "id < 60"))]
     return rel, order, parts[0].union(parts[1]).union(parts[2])
 
 

@@ -9,15 +9,16 @@ from pyspark.sql import types as T
 from sedgeflow.functions.time import instant
 
 # Fixed values of the contract.
-APPS = ("mywebsite", "project_snow")
+#: The site where entries are clicked, and the application that they lead to; callers name their own.
+APPS = ("site", "game")
 SOURCES = ("real", "synthetic")
-KINDS = {  # kind: (apps, required fields, further fields)
-    "page_view": (APPS, ("path",), ("anonymous_id", "session_id")),
-    "character_select": (("project_snow",), ("character_id",), ("anonymous_id", "session_id", "path")),
-    "entry_click": (("mywebsite",), ("jump_id", "channel"), ("anonymous_id", "session_id", "path")),
-    "entry_arrival": (("project_snow",), ("jump_id",), ("anonymous_id", "session_id", "path")),
-    "request_observed": (("project_snow",), ("request_id",), ("anonymous_id", "session_id", "path")),
-    "request_complete": (("project_snow",), ("request_id", "character_id", "success", "elapsed_ms"), ()),
+KINDS = {  # kind: (which of the apps, required fields, further fields)
+    "page_view": ((0, 1), ("path",), ("anonymous_id", "session_id")),
+    "character_select": ((1,), ("character_id",), ("anonymous_id", "session_id", "path")),
+    "entry_click": ((0,), ("jump_id", "channel"), ("anonymous_id", "session_id", "path")),
+    "entry_arrival": ((1,), ("jump_id",), ("anonymous_id", "session_id", "path")),
+    "request_observed": ((1,), ("request_id",), ("anonymous_id", "session_id", "path")),
+    "request_complete": ((1,), ("request_id", "character_id", "success", "elapsed_ms"), ()),
 }
 COMMON = ("schema_version", "event_id", "app", "event_type", "occurred_at")
 FIELDS = (*COMMON, "anonymous_id", "session_id", "path", "character_id", "jump_id", "channel", "request_id", "success", "elapsed_ms")
@@ -62,12 +63,12 @@ def _shapes() -> dict[str, Column]:
     }
 
 
-def valid_event(kind: str = "event_type") -> Column:
+def valid_event(apps: tuple[str, str] = APPS) -> Column:
     """True for rows whose event columns keep the contract; never null."""
     kinds = F.lit(False)
-    for name, (apps, required, more) in KINDS.items():
+    for name, (which, required, more) in KINDS.items():
         absent = [f for f in FIELDS if f not in (*COMMON, *required, *more)]
-        rule = (F.col(kind) == name) & F.col("app").isin(*apps)
+        rule = (F.col("event_type") == name) & F.col("app").isin(*[apps[k] for k in which])
         for f in required:
             rule &= F.col(f).isNotNull()
         for f in absent:
@@ -79,8 +80,8 @@ def valid_event(kind: str = "event_type") -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def valid_envelope(source: str, corrupt: str | None = "_corrupt_record") -> Column:
-    ok = (F.col("source") == source) & (F.col("seq") > 0) & instant(F.col("accepted_at")).isNotNull() & valid_event()
+def valid_envelope(source: str, corrupt: str | None = "_corrupt_record", apps: tuple[str, str] = APPS) -> Column:
+    ok = (F.col("source") == source) & (F.col("seq") > 0) & instant(F.col("accepted_at")).isNotNull() & valid_event(apps)
     if corrupt:
         ok &= F.col(corrupt).isNull()
     return F.coalesce(ok, F.lit(False))

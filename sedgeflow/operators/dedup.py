@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgeflow.functions.contract import FIELDS, business_key, fingerprint, valid_envelope
+from sedgeflow.functions.contract import APPS, FIELDS, business_key, fingerprint, valid_envelope
 from sedgeflow.functions.time import instant, utc
 
 
@@ -18,10 +18,10 @@ def flatten(raw: DataFrame) -> DataFrame:
     return flat.withColumn("event_time", instant(F.col("occurred_at"))).withColumn("accepted", instant(F.col("accepted_at")))
 
 
-def classify(raw: DataFrame, source: str, cutoff: datetime) -> DataFrame:
+def classify(raw: DataFrame, source: str, cutoff: datetime, apps: tuple[str, str] = APPS) -> DataFrame:
     """Adds state: quarantine (with reason), after_cutoff or valid. accepted_at = cutoff is valid."""
     flat = flatten(raw)
-    ok = valid_envelope(source, "_corrupt_record" if "_corrupt_record" in flat.columns else None)
+    ok = valid_envelope(source, "_corrupt_record" if "_corrupt_record" in flat.columns else None, apps)
     state = F.when(~ok, "quarantine").when(F.col("accepted") > utc(cutoff), "after_cutoff").otherwise("valid")
     return flat.withColumn("state", state).withColumn("reason", F.when(~ok, "invalid_contract"))
 

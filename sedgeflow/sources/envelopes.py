@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgeflow.functions.contract import CHANGE, ENVELOPE
+from sedgeflow.functions.contract import APPS, CHANGE, ENVELOPE
 from sedgeflow.functions.time import aware
 from sedgeflow.sources.shared import exists, read_text, write_text
 
@@ -162,13 +162,13 @@ def register(spark: SparkSession, table: str, path: str, expected: int) -> int:
     return n
 
 
-def log_events(records: DataFrame) -> DataFrame:
+def log_events(records: DataFrame, app: str = APPS[1]) -> DataFrame:
     """Completion log lines (request_id, character_id, success, elapsed_ms, at) as events. The id
     is a name-based UUID: SHA-1 of a namespace and the request, with version and variant set."""
     name = F.sha1(F.concat(F.lit("request-complete:"), F.col("request_id")))
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(name, 17, 1), 16, 10).cast("int") % 4 + 1, 1)
     uuid = F.concat_ws("-", F.substring(name, 1, 8), F.substring(name, 9, 4), F.concat(F.lit("5"), F.substring(name, 14, 3)), F.concat(variant, F.substring(name, 18, 3)), F.substring(name, 21, 12))
     return records.where("request_id IS NOT NULL AND success IS NOT NULL").select(
-        F.lit(1).cast("long").alias("schema_version"), uuid.alias("event_id"), F.lit("project_snow").alias("app"), F.lit("request_complete").alias("event_type"),
+        F.lit(1).cast("long").alias("schema_version"), uuid.alias("event_id"), F.lit(app).alias("app"), F.lit("request_complete").alias("event_type"),
         F.col("at").alias("occurred_at"), "request_id", "character_id", "success", "elapsed_ms",
     )

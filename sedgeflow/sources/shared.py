@@ -12,7 +12,7 @@ def scratch(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, deleted when the session ends."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="sedgeflow-")
     path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from sedgeflow.functions.contract import FIELDS, business_key, fingerprint, valid_envelope
+from sedgeflow.functions.contract import APPS, FIELDS, business_key, fingerprint, valid_envelope
 from sedgeflow.functions.time import instant
 
 WATERMARK = "30 seconds"
@@ -86,10 +86,10 @@ class Requests(_Keyed):
         return ("duplicate", "request_duplicate", known) if known is not None else ("fact", None, row.event_id)
 
 
-def prepared(raw: DataFrame, source: str) -> DataFrame:
+def prepared(raw: DataFrame, source: str, apps: tuple[str, str] = APPS) -> DataFrame:
     """ROW of a stream of envelopes; class is quarantine where the contract is broken."""
     flat = raw.select("seq", "source", "accepted_at", "event.*").withColumn("event_time", instant(F.col("occurred_at")))
-    ok = valid_envelope(source, None)
+    ok = valid_envelope(source, None, apps)
     rows = flat.select(
         "seq",
         "source",

@@ -16,11 +16,11 @@ CUTOFF = datetime(2026, 1, 2, 12, tzinfo=UTC)
 
 
 def event(kind="page_view", **more):
-    base = {"schema_version": 1, "event_id": str(uuid.uuid4()), "app": "mywebsite", "event_type": kind, "occurred_at": "2026-01-02T08:00:00Z"}
+    base = {"schema_version": 1, "event_id": str(uuid.uuid4()), "app": "site", "event_type": kind, "occurred_at": "2026-01-02T08:00:00Z"}
     if kind == "page_view":
         base |= {"path": "/a", "anonymous_id": str(uuid.uuid4())}
     if kind == "request_complete":
-        base |= {"app": "project_snow", "request_id": "r1", "character_id": "c", "success": True, "elapsed_ms": 5}
+        base |= {"app": "game", "request_id": "r1", "character_id": "c", "success": True, "elapsed_ms": 5}
     return base | more
 
 
@@ -36,11 +36,11 @@ def lines(tmp_path, rows):
 
 GOOD = [
     event(),
-    event(app="project_snow"),
-    event("character_select", app="project_snow", character_id="c_1"),
+    event(app="game"),
+    event("character_select", app="game", character_id="c_1"),
     event("entry_click", jump_id=str(uuid.uuid4()), channel="home"),
-    event("entry_arrival", app="project_snow", jump_id=str(uuid.uuid4())),
-    event("request_observed", app="project_snow", request_id="r-1"),
+    event("entry_arrival", app="game", jump_id=str(uuid.uuid4())),
+    event("request_observed", app="game", request_id="r-1"),
     event("request_complete"),
     event("request_complete", success=False, elapsed_ms=86_400_000),
 ]
@@ -55,7 +55,7 @@ BAD = [
     event(occurred_at="soon"),
     event(schema_version=2),
     event(app="other"),
-    event("entry_click", app="project_snow", jump_id=str(uuid.uuid4()), channel="home"),
+    event("entry_click", app="game", jump_id=str(uuid.uuid4()), channel="home"),
     event("entry_click", jump_id=str(uuid.uuid4()), channel="a b"),
     event("request_complete", anonymous_id=str(uuid.uuid4())),
     event("request_complete", elapsed_ms=86_400_001),

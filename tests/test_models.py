@@ -12,7 +12,7 @@ T0 = datetime(2026, 1, 2, 4, tzinfo=UTC)
 FACT = "source string, app string, event_id string, event_type string, event_time timestamp, anonymous_id string, path string, character_id string, jump_id string, channel string, request_id string, success boolean, seq long, accepted timestamp"
 
 
-def fact(n, kind, at, app="project_snow", who="u", **more):
+def fact(n, kind, at, app="game", who="u", **more):
     row = dict.fromkeys(x.split()[0] for x in FACT.split(", "))
     row |= {"source": "real", "app": app, "event_id": f"e{n:03d}", "event_type": kind, "event_time": at, "anonymous_id": who, "seq": n, "accepted": at} | more
     return tuple(row.values())
@@ -72,7 +72,7 @@ def test_observation_status():
 def journey(n, click, done, request="r", success=True, jump=None):
     jump = jump or f"j{n}"
     return [
-        fact(10 * n, "entry_click", click, "mywebsite", jump_id=jump, channel="home"),
+        fact(10 * n, "entry_click", click, "site", jump_id=jump, channel="home"),
         fact(10 * n + 1, "entry_arrival", click + timedelta(seconds=10), jump_id=jump),
         fact(10 * n + 2, "request_observed", click + timedelta(seconds=20), request_id=request),
         fact(10 * n + 3, "request_complete", done, who=None, request_id=request, success=success),
@@ -143,18 +143,18 @@ def test_daily_state_matches_a_loop(spark, changes):
 
 
 def test_public_states(spark):
-    day = [fact(n, "page_view", T0, "mywebsite", f"u{n}", path="/a") for n in range(10)]
-    few = [fact(100 + n, "page_view", T0, "project_snow", f"u{n}", path="/a") for n in range(9)]
+    day = [fact(n, "page_view", T0, "site", f"u{n}", path="/a") for n in range(10)]
+    few = [fact(100 + n, "page_view", T0, "game", f"u{n}", path="/a") for n in range(9)]
     done = [fact(200 + n, "request_complete", T0, who=None, request_id=f"r{n}", success=n > 0) for n in range(20)]
-    late = [fact(300, "page_view", T0, "mywebsite", "late", path="/a", accepted=datetime(2026, 1, 4, 16, 15, tzinfo=UTC))]
+    late = [fact(300, "page_view", T0, "site", "late", path="/a", accepted=datetime(2026, 1, 4, 16, 15, tzinfo=UTC))]
     rows = frame(spark, day + few + done + late)
     made = public.projection(rows, datetime(2026, 1, 6, tzinfo=UTC))
     got = {r.app: (r.access, r.quality, r.popularity, r.uv) for r in made.collect()}
-    assert got == {"mywebsite": ("published", "empty", "published", 10), "project_snow": ("suppressed", "suppressed", "suppressed", None)}
+    assert got == {"site": ("published", "empty", "published", 10), "game": ("suppressed", "suppressed", "suppressed", None)}
     assert {r.access for r in public.projection(rows, datetime(2026, 1, 4, tzinfo=UTC)).collect()} == {"pending"}
-    frozen = made.where("app = 'mywebsite'")
+    frozen = made.where("app = 'site'")
     again = public.freeze(frozen, public.projection(rows.where("seq < 5 OR seq >= 100"), datetime(2026, 1, 6, tzinfo=UTC)))
-    assert {r.app: r.access for r in again.collect()} == {"mywebsite": "published", "project_snow": "suppressed"}
+    assert {r.app: r.access for r in again.collect()} == {"site": "published", "game": "suppressed"}
 
 
 def test_quantiles_and_gaps(spark):

@@ -22,7 +22,7 @@ def stream_spark(spark):
 
 
 def row(seq, event_id, at, kind="page_view", **more):
-    e = {"schema_version": 1, "event_id": event_id, "app": "project_snow", "event_type": kind, "occurred_at": at}
+    e = {"schema_version": 1, "event_id": event_id, "app": "game", "event_type": kind, "occurred_at": at}
     e |= {"path": "/a"} if kind == "page_view" else {"request_id": "r", "character_id": "c", "success": True, "elapsed_ms": 1}
     return {"seq": seq, "source": "synthetic", "accepted_at": at, "event": e | more}
 
