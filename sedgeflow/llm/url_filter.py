@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgeflow.llm.common import bounded, lower_ascii, pick
+from sedgeflow.llm.common import bounded, lower_ascii, pick, shared_dir, stage
 
 #: (verdict, rule): a rule is a host, then the start of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -33,6 +33,8 @@ ALLOWED = (
 #: Most words of the unigram model, and least count of one.
 VOCABULARY, LEAST = 50_000, 3
 LONGEST = 20
+#: Levels of counts for each doubling.
+LEVELS = 16
 #: Share of urls taken to be bad before any word is seen.
 PRIOR = 0.3
 SMOOTHING = 0.5
@@ -60,12 +62,22 @@ def ruling(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULE
 
 
 def unigrams(pages: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, text_col: str = "html") -> dict[str, int]:
-    """Counts of the words of all pages' visible text, the `vocabulary` most frequent of them: the
-    size of the model, and the bound of what is sent to the driver and back."""
+    """Counts of the most frequent words of all pages' visible text, at most `vocabulary` of them: the
+    size of the model, and the bound of what is sent to the driver and back. Words are taken by
+    whole levels of the logarithm of their counts, so no task sorts or sends more than its share."""
     text = F.regexp_replace(F.col(text_col), r"<[^>]*>", " ")
     words = pick(pages, text_col).select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(rf"\b([a-z]{{2,{LONGEST}}})\b"), F.lit(1))).alias("w"))
-    counts = words.groupBy("w").count().where(F.col("count") >= least)
-    return {r["w"]: r["count"] for r in counts.orderBy(F.desc("count"), "w").limit(vocabulary).collect()}
+    counts = words.groupBy("w").count().where(F.col("count") >= least).withColumn("level", F.floor(F.log2("count") * LEVELS).cast("int"))
+    counts = stage(counts, f"{shared_dir(pages.sparkSession)}/unigrams")
+    held, lowest = 0, None
+    for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # a few hundred rows at most
+        held += r["n"]
+        if held > vocabulary:
+            break
+        lowest = r["level"]
+    if lowest is None:
+        return {}
+    return {r["w"]: r["count"] for r in counts.where(F.col("level") >= lowest).collect()}
 
 
 @dataclass
