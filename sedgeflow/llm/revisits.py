@@ -66,45 +66,39 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     kinds["headers"] = "map<string,string>"
     held = pick(records, **kinds).withColumn("headers", _lower_keys(F.col("headers"))).withColumn("canonical", canonical_url(F.col("url")))
     full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull() & F.col("canonical").isNotNull()
-    revisit = F.coalesce((F.col("type") == "revisit"), F.lit(False))
-    held = stage(held.withColumn("full", F.coalesce(full, F.lit(False))).withColumn("revisit", revisit).withColumn("_n", F.monotonically_increasing_id()), f"{shared_dir(spark)}/records")
-
-    narrow = held.where("canonical IS NOT NULL AND (full OR revisit)").select("_n", "canonical", F.coalesce("at", F.lit(-1)).alias("at"), "record_id", "full", "revisit")
-    narrow = narrow.withColumn("span", F.floor(F.col("at") / span))
-    mine = F.when(F.col("full"), F.struct("at", "record_id"))
+    held = held.withColumn("full", F.coalesce(full, F.lit(False))).withColumn("revisit", F.coalesce(F.col("type") == "revisit", F.lit(False)))
+    folder = shared_dir(spark)
+    revisits = stage(held.where("revisit").drop("payload", "full").withColumn("_n", F.monotonically_increasing_id()), f"{folder}/revisits")
+
+    time = F.coalesce("at", F.lit(-1)).alias("at")
+    sources = held.where("full").select(F.lit(None).cast("long").alias("_n"), "canonical", time, "record_id")
+    narrow = sources.unionByName(revisits.where("canonical IS NOT NULL").select("_n", "canonical", time, F.lit(None).cast("long").alias("record_id"))).withColumn("span", F.floor(F.col("at") / span))
+    narrow = stage(narrow, f"{folder}/times")
+    is_full = F.col("_n").isNull()
+    mine = F.when(is_full, F.struct("at", "record_id"))
     group = Window.partitionBy("canonical", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    spans = narrow.where("full").groupBy("canonical", "span").agg(F.max(F.struct("at", "record_id")).alias("last"))
-    marks = spans.unionByName(narrow.where("revisit").select("canonical", "span").distinct().withColumn("last", F.lit(None).cast(spans.schema["last"].dataType)))
     # Dealt by both before they are reduced, else a url's records would meet in one task.
-    marks = marks.repartition(partitions(spark), "canonical", "span").groupBy("canonical", "span").agg(F.max("last").alias("last"))
+    marks = narrow.repartition(partitions(spark), "canonical", "span").groupBy("canonical", "span").agg(F.max(mine).alias("last"))
     carried = marks.select("canonical", "span", F.max("last").over(Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    near = narrow.withColumn("near", F.max(mine).over(group)).where("revisit")
+    near = narrow.withColumn("near", F.max(mine).over(group)).where(~is_full)
     asof = near.join(carried, ["canonical", "span"]).select("_n", F.coalesce("near", "carried")["record_id"].alias("source_id"))
 
+    # Payloads are shuffled once, by the id that joins them; other records aren't shuffled at all.
     response = held.where("full").groupBy("record_id").agg(F.min(F.struct("url", "payload", F.map_entries("headers").alias("headers"))).alias("s"))
     response = response.select(F.col("record_id").alias("source_id"), F.col("s.payload").alias("_payload"), F.map_from_entries("s.headers").alias("_headers"))
-    met = held.join(asof, "_n", "left").join(response, "source_id", "left")
+    met = revisits.join(asof, "_n", "left").join(response, "source_id", "left")
     tag = lambda h: F.regexp_replace(F.element_at(h, F.lit("etag")), r"\AW/", "")
     day = lambda h: F.element_at(h, F.lit("last-modified"))
     own, its = F.col("headers"), F.col("_headers")
     agree = F.coalesce(tag(own) == tag(its), day(own) == day(its), F.lit(True))
-    outcome = F.when(~F.col("revisit"), "full").when(F.col("source_id").isNull(), "orphan").when(agree, "resolved").otherwise("changed")
+    outcome = F.when(F.col("source_id").isNull(), "orphan").when(agree, "resolved").otherwise("changed")
     renewed = F.map_filter(own, lambda k, v: k.isin(*RENEWED))
     merged = F.map_concat(F.map_filter(its, lambda k, v: ~F.map_contains_key(renewed, k)), renewed)
     ok = F.col("outcome") == "resolved"
-    out = met.withColumn("outcome", outcome)
-    return out.select(
-        "record_id",
-        "url",
-        "canonical",
-        "at",
-        "type",
-        "status",
-        F.when(ok, F.col("source_id")).alias("source_id"),
-        "outcome",
-        F.when(ok, merged).otherwise(own).alias("headers"),
-        F.when(ok, F.col("_payload")).when(~F.col("revisit"), F.col("payload")).alias("payload"),
-    )
+    same = ("record_id", "url", "canonical", "at", "type", "status")
+    resolved = met.withColumn("outcome", outcome).select(*same, F.when(ok, F.col("source_id")).alias("source_id"), "outcome", F.when(ok, merged).otherwise(own).alias("headers"), F.when(ok, F.col("_payload")).alias("payload"))
+    others = held.where(~F.col("revisit")).select(*same, F.lit(None).cast("long").alias("source_id"), F.lit("full").alias("outcome"), "headers", "payload")
+    return others.unionByName(resolved)
 
 
 def captures(pages: DataFrame) -> DataFrame:
