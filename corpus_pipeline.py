@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgeflow.llm import decontaminate, mixing, quality_bands, simhash, token_files
+from sedgeflow.llm import decontaminate, mixing, quality_bands, similar, token_files
 from sedgeflow.llm.common import shared_dir, stage, table
 
 
@@ -19,8 +19,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """One document, that of the smallest doc_id, of each group of near-duplicates: a similarity of
+    0.8 or more of 5-word shingles."""
+    return similar.drop_similar(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("weights", weights), ("tokens", tokens)]
 
-#: Fingerprints' components, compression ratios and a tokenizer's ids are beyond SQL; the tests hold
+#: Similar texts' components, compression ratios and a tokenizer's ids are beyond SQL; the tests hold
 #: run() against a brute-force version.
 ORACLE_SQL = None
 
