@@ -16,10 +16,10 @@ def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sedgeflow.llm.url_filter import judge_urls, unigrams
+    from sedgeflow.llm.url_filter import counted, judge_urls
 
     pages = table(spark, sf_dir, "pages")
-    return judge_urls(pages, unigrams(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(pages, counted(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

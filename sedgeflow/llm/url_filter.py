@@ -30,7 +30,7 @@ ALLOWED = (
     "local-history", "math-forum", "language-course", "research-institute", "art-gallery", "football-club", "kitchen-blog",
     "nature-park", "software-manual", "world-atlas", "family-doctor",
 )
-#: Most words of the unigram model, and least count of one.
+#: Most words that unigrams() takes to the driver, and least count of a word.
 VOCABULARY, LEAST = 50_000, 3
 LONGEST = 20
 #: Levels of counts for each doubling.
@@ -61,14 +61,17 @@ def ruling(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULE
     return F.coalesce(*cases, F.lit(None)) if cases else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def unigrams(pages: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, text_col: str = "html") -> dict[str, int]:
-    """Counts of the most frequent words of all pages' visible text, at most `vocabulary` of them: the
-    size of the model, and the bound of what is sent to the driver and back. Words are taken by
-    whole levels of the logarithm of their counts, so no task sorts or sends more than its share."""
+def counted(pages: DataFrame, least: int = LEAST, text_col: str = "html") -> DataFrame:
+    """w, count of every word of all pages' visible text that occurs so often, as a written table."""
     text = F.regexp_replace(F.col(text_col), r"<[^>]*>", " ")
     words = pick(pages, text_col).select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(rf"\b([a-z]{{2,{LONGEST}}})\b"), F.lit(1))).alias("w"))
-    counts = words.groupBy("w").count().where(F.col("count") >= least).withColumn("level", F.floor(F.log2("count") * LEVELS).cast("int"))
-    counts = stage(counts, f"{shared_dir(pages.sparkSession)}/unigrams")
+    return stage(words.groupBy("w").count().where(F.col("count") >= least), f"{shared_dir(pages.sparkSession)}/unigrams")
+
+
+def unigrams(pages: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, text_col: str = "html") -> dict[str, int]:
+    """The most frequent of the counted words, at most `vocabulary` of them, on the driver: for small
+    tables. Words are taken by whole levels of the logarithm of their counts."""
+    counts = counted(pages, least, text_col).withColumn("level", F.floor(F.log2("count") * LEVELS).cast("int"))
     held, lowest = 0, None
     for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # a few hundred rows at most
         held += r["n"]
@@ -87,9 +90,10 @@ class Segmenter:
 
     counts: dict[str, int]
     memory: dict[str, list[str]] = field(default_factory=dict)
+    total: int = 0  # of all words, if counts holds only some of them
 
     def __post_init__(self) -> None:
-        self.total = max(1, sum(self.counts.values()))
+        self.total = self.total or max(1, sum(self.counts.values()))
         self.cost = {w: math.log(self.total / n) for w, n in self.counts.items()}
         self.unknown = [math.log(self.total) + n * math.log(10) for n in range(LONGEST + 1)]
 
@@ -133,30 +137,83 @@ class Bayes:
         return self.prior + sum(self.odds.get(t, 0.0) for t in tokens)
 
 
-def judge_urls(pages: DataFrame, counts: dict[str, int], rules: tuple[tuple[str, str], ...] = RULES, blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def _substrings(run: str) -> set[str]:
+    return {run[k : k + n] for n in range(2, LONGEST + 1) for k in range(len(run) - n + 1)}
+
+
+def _cut(parts: DataFrame, counts: DataFrame, named: Counter, total: int, folder: str) -> DataFrame:
+    """_n, words (in order) of each row of parts (_n, runs). Only substrings of the runs are looked up
+    among the counts, and each run is cut once, by the counts of its own substrings."""
+    runs = stage(parts.select(F.explode("runs").alias("run")).distinct().withColumn("r", F.monotonically_increasing_id()), f"{folder}/runs")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        found: list[str] = []
+        for batch in batches:
+            for run, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = _substrings(run)
+                ids += [r] * len(own)
+                found += own
+                if len(ids) >= 65536:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["r", "w"])
+                    ids, found = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["r", "w"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words = []
+            for run, seen in zip(texts, own, strict=True):
+                known = Counter({x["w"]: x["count"] for x in seen or ()})
+                known.update({w: n for w, n in named.items() if w in run})
+                words.append(Segmenter(dict(known), total=total).split(run))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["run", "words"])
+
+    met = runs.select("run", "r").mapInArrow(spread, "r long, w string").join(counts, "w")
+    seen = met.groupBy("r").agg(F.collect_list(F.struct("w", "count")).alias("seen"))
+    cut = stage(runs.join(seen, "r", "left").select("run", "seen").mapInArrow(split, "run string, words array<string>"), f"{folder}/cut")
+    placed = parts.select("_n", F.posexplode("runs").alias("at", "run")).join(cut, "run")
+    inorder = F.array_sort(F.collect_list(F.struct("at", "words")))
+    return placed.groupBy("_n").agg(F.flatten(F.transform(inorder, lambda x: x["words"])).alias("words"))
+
+
+def judge_urls(pages: DataFrame, counts: dict[str, int] | DataFrame, rules: tuple[tuple[str, str], ...] = RULES, blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for each row: id, host, path, rule (the longest that fits, else null), verdict (allow
     or block: the rule's, else the classifier's), words (of host and path, joined by one space),
     odds (log odds of block).
 
     Host names run words together; the segmenter cuts each run of letters of host and path by the
     unigram counts, to which the words of the labelled names are added, and naive Bayes adds up the
-    words' log odds. A url that is null or has no :// has an empty host and path and no words: the
-    prior decides (allow). Null ids are kept, repeated rows give a row each, other columns are
-    ignored, an empty table gives an empty one.
+    words' log odds. Counts are a table of counted(), of any size, or a dict of few words. A url
+    that is null or has no :// has an empty host and path and no words: the prior decides (allow).
+    Null ids are kept, repeated rows give a row each, other columns are ignored, an empty table
+    gives an empty one.
     """
-    bounded(pages.sparkSession)
-    known = Counter(counts)
-    strength = max(1, sum(counts.values()) // 10_000)
-    for name in (*blocked, *allowed):
-        for w in name.split("-"):
-            known[w] += strength
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Segmenter(dict(known))
-        model = Bayes.learn([cutter.tokens(x) for x in blocked], [cutter.tokens(x) for x in allowed])
+    spark = pages.sparkSession
+    bounded(spark)
+    names = [name.split("-") for name in (*blocked, *allowed)]
+    if isinstance(counts, dict):
+        counts = spark.createDataFrame(list(counts.items()), "w string, count long")
+    size = counts.agg(F.sum("count")).first()[0] or 0
+    named = Counter(w for name in names for w in name)
+    strength = max(1, size // 10_000)
+    named = Counter({w: n * strength for w, n in named.items()})
+    total = size + sum(named.values())
+    # What the labelled names' own substrings count: as many rows as the names' letters allow.
+    few = spark.createDataFrame([(w,) for w in sorted({x for w in named for x in _substrings(w)})], "w string")
+    known = Counter({r["w"]: r["count"] for r in counts.join(F.broadcast(few), "w", "left_semi").collect()})
+    known.update(named)
+    cutter = Segmenter(dict(known), total=total)
+    model = Bayes.learn([cutter.tokens(x) for x in blocked], [cutter.tokens(x) for x in allowed])
+
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [_RUNS.findall(h.lower()) + _RUNS.findall(p.lower()) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, pa.list_(pa.string()))], names=[id_col, "host", "path", "rule", "said", "runs"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, verdicts = (batch.column(k).to_pylist() for k in (1, 2, 4))
-            words = [cutter.tokens(h) + cutter.tokens(p) for h, p in zip(hosts, paths, strict=True)]
+            verdicts, words = batch.column(4).to_pylist(), [w or [] for w in batch.column(5).to_pylist()]
             odds = [model.score(w) for w in words]
             said = [v or ("block" if o > 0 else "allow") for v, o in zip(verdicts, odds, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -169,4 +226,8 @@ def judge_urls(pages: DataFrame, counts: dict[str, int], rules: tuple[tuple[str,
     host, path = host_and_path(F.col(url_col))
     parts = held.select(id_col, host.alias("host"), path.alias("path"))
     ruled = parts.withColumn("_r", ruling(F.col("host"), F.col("path"), rules)).select(id_col, "host", "path", "_r.rule", "_r.verdict")
-    return ruled.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, words string, odds double")
+    lettered = ruled.mapInArrow(letters, f"`{id_col}` {kind}, host string, path string, rule string, said string, runs array<string>")
+    folder = shared_dir(spark)
+    lettered = stage(lettered.withColumn("_n", F.monotonically_increasing_id()), f"{folder}/runs-of-urls")
+    worded = lettered.join(_cut(lettered, counts, named, total, folder), "_n", "left").select(id_col, "host", "path", "rule", "said", "words")
+    return worded.mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, words string, odds double")
