@@ -227,13 +227,32 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
     return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df, with its columns, with one row of each component: that of the smallest id (of rows that
-    repeat it, any one). Rows without an id stay."""
-    found = near_duplicates(df, id_col=id_col, text_col=text_col, **how)
-    first = found.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_first")).distinct()
-    kept = df.join(first, df[id_col] == F.col("_first"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(df[id_col].isNull()))
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """df, with its columns, with one row of each component: that of the smallest id, of texts that
+    repeat it, that of the least fingerprint and then of the least hash (of rows that repeat id and
+    text, any one). Rows without an id stay.
+
+    Nodes are numbered by themselves, so unlike texts under one id are components of their own.
+    """
+    folder = shared_dir(df.sparkSession)
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    held = pick(df, **{id_col: "long", text_col: "string"}).toDF("id", "text").where("id IS NOT NULL")
+    bounded(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], names=["id", "h", "fp"])
+
+    hashed = held.select("id", F.md5(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    fps = hashed.mapInArrow(run, "id long, h string, fp long")
+    best = F.min(F.struct("id", "fp", "h")).alias("s")
+    nodes = stage(fps.groupBy("fp").agg(best).withColumn("node", F.monotonically_increasing_id()), f"{folder}/nodes")
+    parts = components(links(nodes, radius, folder=folder), folder)
+    first = nodes.join(parts, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("s").alias("s"))
+    first = stage(first.select(F.col("s.id").alias("_first"), F.col("s.h").alias("_text")), f"{folder}/first")
+    kept = df.withColumn("_hash", digest).join(first, (F.col(id_col) == F.col("_first")) & (F.col("_hash") == F.col("_text")), "left_semi")
+    return kept.dropDuplicates([id_col, "_hash"]).drop("_hash").unionByName(df.where(df[id_col].isNull()))
 
 
 def hexadecimal(fp: Column) -> Column:
