@@ -11,8 +11,8 @@ from sedgeflow.llm.common import lower_ascii, partitions, pick, shared_dir, stag
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that don't tell pages apart.
 TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid)"
-#: Seconds of captures of one url that one task orders.
-SPAN = 7 * 86400
+#: Most rows, about, of captures that one task orders.
+SPAN = 1_000_000
 
 RECORD = "record_id long, type string, url string, at long, status int, headers map<string,string>, payload string"
 
@@ -51,10 +51,12 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     - changed: the validators differ; no payload, its own headers;
     - orphan: no earlier full response; no payload, its own headers.
 
-    The as-of join needs no task with all captures of a url: captures are grouped by url and span of
-    time; each group is ordered by itself and takes over, where it has no earlier response of its
-    own, the last one of the groups before it, of which there is one row for each span. Only
-    record ids are moved so; the response's headers and payload are joined by its id.
+    The as-of join needs no task with all captures of a url: captures are cut into pieces of about
+    as many rows, at most `span`, by url, time and id, whatever their times are. Each piece is ordered
+    by itself and takes over, where it has no earlier response of its own, the last one of the pieces
+    before it. A time can go on over pieces, so each piece hands on two responses: its last, and its
+    last before its greatest time. Only record ids are moved so; the response's headers and payload
+    are joined by its id.
 
     A null or negative time is earlier than any other; records without url, id or type are kept as
     they are (outcome full, or orphan for a revisit). Ids are assumed to be unique: of responses
@@ -72,16 +74,29 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
 
     time = F.coalesce("at", F.lit(-1)).alias("at")
     sources = held.where("full").select(F.lit(None).cast("long").alias("_n"), "canonical", time, "record_id")
-    narrow = sources.unionByName(revisits.where("canonical IS NOT NULL").select("_n", "canonical", time, F.lit(None).cast("long").alias("record_id"))).withColumn("span", F.floor(F.col("at") / span))
+    narrow = sources.unionByName(revisits.where("canonical IS NOT NULL").select("_n", "canonical", time, F.lit(None).cast("long").alias("record_id")))
     narrow = stage(narrow, f"{folder}/times")
+    pieces = max(partitions(spark), -(-narrow.count() // span))
+    ranged = narrow.repartitionByRange(pieces, "canonical", "at", "record_id", "_n").withColumn("piece", F.spark_partition_id())
+    ranged = stage(ranged, f"{folder}/pieces")
     is_full = F.col("_n").isNull()
     mine = F.when(is_full, F.struct("at", "record_id"))
-    group = Window.partitionBy("canonical", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    # Dealt by both before they are reduced, else a url's records would meet in one task.
-    marks = narrow.repartition(partitions(spark), "canonical", "span").groupBy("canonical", "span").agg(F.max(mine).alias("last"))
-    carried = marks.select("canonical", "span", F.max("last").over(Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    near = narrow.withColumn("near", F.max(mine).over(group)).where(~is_full)
-    asof = near.join(carried, ["canonical", "span"]).select("_n", F.coalesce("near", "carried")["record_id"].alias("source_id"))
+    own = ("canonical", "piece")
+    group = Window.partitionBy(*own).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    near = ranged.withColumn("near", F.max(mine).over(group))
+    # A piece's last response, and its last before its greatest time.
+    ends = ranged.groupBy(*own).agg(F.min("at").alias("start"), F.max("at").alias("end"), F.max(mine).alias("last"))
+    ends = stage(ends, f"{folder}/ends")
+    below = near.join(ends.select(*own, "end"), list(own)).where("at = end").groupBy(*own).agg(F.max("near").alias("below"))
+    handed = ends.join(below, list(own), "left").select("canonical", "piece", "start", F.explode(F.array("last", "below", F.lit(None))).alias("x"))
+    handed = handed.select("canonical", "x", F.when(F.col("x").isNull(), F.col("piece")).alias("piece"), F.coalesce("x.at", "start").alias("at"))
+    before = Window.partitionBy("canonical").orderBy("at")
+    strict = F.max("x").over(before.rangeBetween(Window.unboundedPreceding, -1))
+    loose = F.max("x").over(before.rangeBetween(Window.unboundedPreceding, 0))
+    carried = handed.select("canonical", "piece", strict.alias("strict"), loose.alias("loose")).where("piece IS NOT NULL").distinct()
+    carried = carried.join(ends.select(*own, "start"), list(own))
+    taken = F.greatest("near", F.when(F.col("at") == F.col("start"), F.col("strict")).otherwise(F.col("loose")))
+    asof = near.where(~is_full).join(carried, list(own)).select("_n", taken["record_id"].alias("source_id"))
 
     # Payloads are shuffled once, by the id that joins them; other records aren't shuffled at all.
     response = held.where("full").groupBy("record_id").agg(F.min(F.struct("url", "payload", F.map_entries("headers").alias("headers"))).alias("s"))
