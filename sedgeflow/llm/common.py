@@ -38,9 +38,35 @@ def pick(df: DataFrame, *names: str, **typed: str) -> DataFrame:
     return held.select(*out)
 
 
+def place(df: DataFrame, name: str) -> str:
+    """The column of numbered(df) that pick() takes for a name."""
+    lower = [c.lower() for c in df.columns]
+    return f"_{df.columns.index(name) if name in df.columns else lower.index(name.lower())}"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named _0, _1, ...: whatever they were called, what an operator adds can't
+    clash with them. named() gives them their names back."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def named(held: DataFrame, like: DataFrame) -> DataFrame:
+    return held.select(*[f"_{i}" for i in range(len(like.columns))]).toDF(*like.columns)
+
+
+def row_hashes(held: DataFrame) -> list[Column]:
+    """Two hashes, h1 and h2, of all columns: rows that agree in both are taken to be equal."""
+    cols = [F.to_json(F.struct(c)) if "map<" in t or "variant" in t else F.col(c) for c, t in held.dtypes]
+    return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(0x5EED), *cols).alias("h2")]
+
+
 def bounded(spark: SparkSession) -> None:
-    """Arrow batches bounded by bytes, so that very long texts don't meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Arrow batches of at most BATCH_BYTES, so that very long texts don't meet in one (a longer text
+    comes alone). Plans read the setting when they run, so it stays; a lower one of the caller's too."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64g"))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,18 +77,20 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="sedgeflow-")
         spark.sparkContext.setCheckpointDir(top)
-    path = f"{top.rstrip('/')}/sedgeflow-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    path = qualified(spark, f"{top.rstrip('/')}/sedgeflow-{uuid.uuid4().hex}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
 
 
 def stage(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
-    """df as a written table: what follows doesn't depend on any executor's memory or disk."""
+    """df as a written table: what follows doesn't depend on any executor's memory or disk.
+
+    Spark drops the shuffle files of a written query when its plan is garbage; asking for that here
+    keeps disks from holding all of a long job's shuffles. Nothing but disk use depends on it."""
     df.write.mode("errorifexists").parquet(path, compression=compression)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is done
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,13 +106,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def split_words(text: Column, other: str) -> Column:
+    """The pieces of a text between runs of `other`; null has none. Java takes several times as long
+    to find runs of a negated class as to split at a class of ASCII characters."""
+    return F.coalesce(F.array_remove(F.split(text, other), ""), F.array().cast("array<string>"))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null has none."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.array().cast("array<string>"))
+    return split_words(text, f"[{SPACES}]+")
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    trimmed = F.trim(text, F.lit("\x20\x09\x0a\x0b\x0c\x0d"))
+    return F.when(F.length(trimmed) > 0, F.regexp_count(trimmed, F.lit(f"[{SPACES}]+")) + 1).otherwise(0).cast("long")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -98,19 +133,31 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list,
         yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
 
 
+#: Schemes that pyarrow knows by another name than Hadoop does.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "abfss": "abfss"}
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with a scheme, as Spark resolves it: against fs.defaultFS without one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 class Store:
-    """Files in a folder that all executors share: a local mount by its path, else by pyarrow."""
+    """Files in a folder that all executors share, named as qualified() does: a mount that all of
+    them have (file:) by its path, any other through pyarrow's file systems."""
 
     def __init__(self, folder: str):
-        if folder.startswith("file:"):
-            self.local, self.folder = True, "/" + folder[5:].lstrip("/")
-        elif "://" not in folder:
-            self.local, self.folder = True, folder
-        else:
-            from pyarrow import fs
-
-            self.local = False
-            self.fs, self.folder = fs.FileSystem.from_uri(folder)
+        scheme, colon, rest = folder.partition(":")
+        if not colon:
+            raise ValueError(f"{folder} names no file system; see qualified()")
+        if scheme == "file":
+            self.local, self.folder = True, "/" + rest.lstrip("/")
+            return
+        from pyarrow import fs
+
+        self.local = False
+        self.fs, self.folder = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
     def write(self, name: str, chunks: Iterator[bytes]) -> None:
         """The whole file or none: a retried task replaces what it wrote before."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgeflow.llm import bpe
-from sedgeflow.llm.common import Store, bounded, partitions, pick, shared_dir, stage
+from sedgeflow.llm.common import Store, bounded, partitions, pick, qualified, shared_dir, stage
 from sedgeflow.llm.token_counts import GROUP_BYTES, balanced
 
 # Fixed values of the zstandard formats.
@@ -100,17 +100,23 @@ class Reader:
         return (self.ids(k) for k, x in enumerate(self.doc_ids) if x == doc_id)
 
 
-def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", order: str = "id") -> DataFrame:
     """Writes folder/part-NNNNN.tokens.zst, in ascending order of ids over all files (null first),
     and returns the written list of files: file, part, n_docs, n_tokens.
 
-    The rows are range-partitioned by id, so no task holds more than its range; rows of one id
-    stand together, in order of their texts. end_id, if any, is appended to each document. Null
-    texts count as empty. A file appears whole or not at all, under a name that a retried task
-    uses again. An empty table writes no file. Other columns are ignored.
+    The rows are range-partitioned by id and by a hash of the text, so a task holds no more than its
+    range and rows without an id are many tasks'; rows of one id stand in order of that hash. With
+    order "given" the rows are written as they lie, partition after partition: a mix that was
+    range-sorted stays in its order, and nothing is shuffled. end_id, if any, is appended to each
+    document. Null texts count as empty; repeated rows are written each; ids are cast to long. A
+    file appears whole or not at all, under a name that a retried task uses again. An empty table
+    writes no file. Other columns are ignored, whatever their names.
     """
+    if order not in ("id", "given"):
+        raise ValueError("order is id or given")
     spark = df.sparkSession
     bounded(spark)
+    folder = qualified(spark, folder)
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +143,9 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, id
         Store(folder).write(name, frames())
         yield pa.RecordBatch.from_pydict({"file": [name], "part": [part], "n_docs": [writer.count], "n_tokens": [writer.tokens]})
 
-    held = pick(df, **{id_col: "long", text_col: "string"}).repartitionByRange(partitions(spark), id_col).sortWithinPartitions(id_col, text_col)
+    held = pick(df, **{id_col: "long", text_col: "string"}).toDF("id", "text")
+    if order == "id":
+        held = held.withColumn("h", F.xxhash64("text")).repartitionByRange(partitions(spark), "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
     return stage(held.mapInArrow(run, "file string, part long, n_docs long, n_tokens long"), f"{folder}/files")
 
 
@@ -148,6 +156,7 @@ def read(files: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
     Each task reads whole files, frame by frame; the only thing that is gathered is a row for each
     file, whose running total gives the files' starts.
     """
+    folder = qualified(files.sparkSession, folder)
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     listed = files.select("file", before.alias("base")).repartition(partitions(files.sparkSession), "file")
 
@@ -169,8 +178,8 @@ def read(files: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
     return listed.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, file string, frame long")
 
 
-def round_trip(df: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
+def round_trip(df: DataFrame, tokenizer: str, folder: str | None = None, order: str = "id") -> DataFrame:
     """Writes the files to a folder (by default a fresh one below spark.checkpoint.dir) and reads
-    every document back."""
+    every document back; rows, nulls, repeats and empty tables as in write()."""
     folder = folder or shared_dir(df.sparkSession)
-    return read(write(df, folder, tokenizer), folder)
+    return read(write(df, folder, tokenizer, order=order), folder)
