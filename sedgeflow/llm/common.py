@@ -54,17 +54,21 @@ def named(held: DataFrame, like: DataFrame) -> DataFrame:
     return held.select(*[f"_{i}" for i in range(len(like.columns))]).toDF(*like.columns)
 
 
-def row_hashes(held: DataFrame) -> list[Column]:
-    """Two hashes, h1 and h2, of all columns: rows that agree in both are taken to be equal."""
+def hashed(df: DataFrame) -> DataFrame:
+    """numbered(df) with two hashes, h1 and h2, of all columns: rows that agree in both are taken to
+    be equal. They are made by a generator, as the optimizer would follow an expression of so many
+    columns through every renaming of each."""
+    held = numbered(df)
     cols = [F.to_json(F.struct(c)) if "map<" in t or "variant" in t else F.col(c) for c, t in held.dtypes]
-    return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(0x5EED), *cols).alias("h2")]
+    both = F.struct(F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(0x5EED), *cols).alias("h2"))
+    return held.select("*", F.explode(F.array(both)).alias("h")).select(*held.columns, "h.h1", "h.h2")
 
 
 def bounded(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_BYTES, so that very long texts don't meet in one (a longer text
     comes alone). Plans read the setting when they run, so it stays; a lower one of the caller's too."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64g"))
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
     if not 0 < size <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
@@ -127,6 +131,20 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, train_rows: int, folder: str) -> DataFrame:
+    """A written table of text, label: the texts of at most train_rows labelled ids outside the
+    held-out fold (crc32 of the id's text mod 5 is 0), the first by a hash of the id. Equal texts
+    stand once, with their greatest label, as do ids that are labelled twice."""
+    ids = pick(labels, **{"doc_id": "long", label: "int"}).toDF("doc_id", "label").where("doc_id IS NOT NULL AND label IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
+    ids = ids.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.md5(F.col("doc_id").cast("string")))
+    # The first by hash are below this share of its range, but for chance; so no task sends more than its share.
+    share = min(1.0, (1.1 * train_rows + 100) / max(1, ids.count()))
+    low = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") < F.lit(int(share * (1 << 32)))
+    chosen = ids.where(low).orderBy("h", "doc_id").limit(train_rows).drop("h")
+    texts = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")  # at most train_rows rows
+    return stage(texts.groupBy(F.md5(F.coalesce("text", F.lit("")))).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label"), f"{folder}/labelled")
+
+
 def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
     """The named columns of each batch as lists."""
     for batch in batches:

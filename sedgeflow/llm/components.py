@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgeflow.llm.common import shared_dir, stage
+from sedgeflow.llm.common import drop, shared_dir, stage
 
 
 def _large_star(edges: DataFrame, path: str) -> DataFrame:
@@ -28,7 +28,7 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     component. edges has two columns of longs; loops and repeats are allowed.
 
     Each round is a written table in the shared folder, so lost executors cost no more than the
-    round at hand. Nodes are aggregated before they are shuffled and joins are plain ones, which
+    round at hand; what a round was made from is dropped. Nodes are aggregated before they are shuffled and joins are plain ones, which
     adaptive execution splits where a node is hot. Only counts and checksums reach the driver.
     """
     folder = folder or shared_dir(edges.sparkSession)
@@ -42,3 +42,4 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
             return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark, k = seen, k + 1
         current = stage(_small_star(_large_star(current, f"{folder}/least-{k}")), f"{folder}/edges-{k}")
+        drop(edges.sparkSession, f"{folder}/least-{k}", f"{folder}/edges-{k - 1}")

@@ -41,9 +41,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sedgeflow.llm.quality_bands import quality
+    from sedgeflow.llm.quality_bands import learn, quality
 
-    return quality(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgeflow.llm.common import n_words, named, numbered, partitions, place, row_hashes, shared_dir, stage
+from sedgeflow.llm.common import hashed, n_words, named, partitions, place, shared_dir, stage
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -118,8 +118,7 @@ def _scheduled(docs: DataFrame, weights: tuple[float, ...], budget: float, repea
     text = text.cast("string")
     mark = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(id_.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
     s = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))  # null is a source of its own
-    held = numbered(docs)
-    rows = held.select(id_.alias("id"), *row_hashes(held), source.alias("source"), n_words(text).alias("size"), mark.alias("mark"))
+    rows = hashed(docs).select(id_.alias("id"), "h1", "h2", source.alias("source"), n_words(text).alias("size"), mark.alias("mark"))
     units = stage(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("m")).withColumn("s", s), f"{folder}/units")
     targets = source_targets(units.select("source", (F.col("size") * F.col("m")).alias("size")), weights, budget, repeats)
     targets = stage(targets.withColumn("s", s), f"{folder}/targets")
@@ -166,21 +165,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     whole, _ = _sent(end, F.col("finish_time"), F.col("s"), F.col("at"), F.col("size"))
     folder, spread = shared_dir(docs.sparkSession), partitions(docs.sparkSession)
     sent = stage(copies.where(whole).select("h1", "h2", "finish_time", "s", "at", "m"), f"{folder}/sent")
-    held = numbered(docs)
-    own = stage(held.select(*row_hashes(held), "*").repartition(spread, "h1", "h2").dropDuplicates(["h1", "h2"]), f"{folder}/rows") if _repeated(every) else held.select(*row_hashes(held), "*")
-    met = sent.join(own, ["h1", "h2"])
+    own = hashed(docs)
+    if not sent.where("m > 1").isEmpty():  # equal rows: one of them stands for all
+        own = stage(own.repartition(spread, "h1", "h2").dropDuplicates(["h1", "h2"]), f"{folder}/rows")
+    met = sent.drop("m").join(own, ["h1", "h2"])
     ordered = met.repartitionByRange(spread, "finish_time", "s", "at").sortWithinPartitions("finish_time", "s", "at")
     return named(ordered, docs)
 
 
-def _repeated(every: DataFrame) -> bool:
-    """Whether any rows are equal; without them a row's hashes are those of one row."""
-    return not every.where("m > 1").isEmpty()
-
-
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce('s' || source, 'n') AS s, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS size,
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS s, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS size,
          md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS mark FROM documents),
 per AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 ranked AS (

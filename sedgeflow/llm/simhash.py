@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgeflow.llm.common import bounded, partitions, pick, shared_dir, stage
+from sedgeflow.llm.common import bounded, hashed, named, numbered, partitions, pick, place, shared_dir, stage
 from sedgeflow.llm.components import components
 
 SHINGLE = 3
@@ -95,10 +95,12 @@ class Block:
         return greater
 
 
-def forest(values: np.ndarray, radius: int = RADIUS, block: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """(i, j) of a spanning forest of the links among distinct fingerprints: a search from each
-    unreached one, every step against the blocks of those not reached yet. The blocks are packed
-    anew when half of their places are reached, so a tight group costs little more than its size."""
+def forest(values: np.ndarray, radius: int = RADIUS, block: int = BLOCK, confirm: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """(i, j) of a spanning forest of the links among fingerprints: a search from each unreached one,
+    every step against the blocks of those not reached yet. The blocks are packed anew when half of
+    their places are reached, so a tight group costs little more than its size.
+
+    confirm(i, js) says which of those within the radius are linked; by default all are."""
     values = np.ascontiguousarray(values, dtype="<u8")
     reached = np.zeros(len(values), bool)
     numbers = values.tolist()
@@ -115,7 +117,7 @@ def forest(values: np.ndarray, radius: int = RADIUS, block: int = BLOCK) -> Iter
         todo = [root]
         reached[root] = True
         left -= 1
-        while todo:
+        while todo and left:
             at = todo.pop()
             if left < held // 2:
                 blocks, held = packed(), left
@@ -123,14 +125,26 @@ def forest(values: np.ndarray, radius: int = RADIUS, block: int = BLOCK) -> Iter
                 own, planes, alive = entry
                 if not alive or not (met := planes.near(numbers[at], alive)):
                     continue
+                places = np.flatnonzero(np.unpackbits(np.frombuffer(met.to_bytes((planes.n + 7) // 8, "little"), np.uint8), bitorder="little"))
+                gone = reached[own[places]]
+                new = places[~gone]
+                if confirm is not None and len(new):
+                    linked = confirm(at, own[new])
+                    met = _bits(np.concatenate([places[gone], new[linked]]), planes.n)
+                    new = new[linked]
                 entry[2] = alive & ~met
-                bits = np.unpackbits(np.frombuffer(met.to_bytes((planes.n + 7) // 8, "little"), np.uint8), bitorder="little")
-                for j in own[np.flatnonzero(bits)].tolist():
-                    if not reached[j]:
-                        reached[j] = True
-                        left -= 1
-                        todo.append(j)
-                        yield at, j
+                for j in own[new].tolist():
+                    reached[j] = True
+                    left -= 1
+                    todo.append(j)
+                    yield at, j
+
+
+def _bits(places: np.ndarray, n: int) -> int:
+    """A bit set of some of n places."""
+    flags = np.zeros(n, np.uint8)
+    flags[places] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -194,14 +208,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, key_rows: int = KEY_ROWS, fold
             return made
 
         for _, _, _, fp, node in _groups(batches, 3):
-            if len(fp) == 2:
-                if (int(fp[0] ^ fp[1]) & (1 << 64) - 1).bit_count() <= radius:
-                    a.append(int(node[0]))
-                    b.append(int(node[1]))
-            else:
-                for i, j in forest(fp.view(np.uint64), radius):
-                    a.append(int(node[i]))
-                    b.append(int(node[j]))
+            for i, j in forest(fp.view(np.uint64), radius):
+                a.append(int(node[i]))
+                b.append(int(node[j]))
             if len(a) >= 65536:
                 yield out()
         if a:
@@ -229,30 +238,42 @@ def near_duplicates(df: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE,
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """df, with its columns, with one row of each component: that of the smallest id, of texts that
-    repeat it, that of the least fingerprint and then of the least hash (of rows that repeat id and
-    text, any one). Rows without an id stay.
+    repeat it, that of the least fingerprint and then of the least hash, of rows that repeat id and
+    text, that of the least hash of all columns. Rows without an id stay; null and empty texts are
+    equal to each other; other columns may have any names; an empty table gives an empty one.
 
     Nodes are numbered by themselves, so unlike texts under one id are components of their own.
     """
-    folder = shared_dir(df.sparkSession)
-    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    held = pick(df, **{id_col: "long", text_col: "string"}).toDF("id", "text").where("id IS NOT NULL")
-    bounded(df.sparkSession)
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    id_, text = F.col(place(df, id_col)).cast("long"), F.col(place(df, text_col)).cast("string")
+    bounded(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], names=["id", "h", "fp"])
+            made = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(4)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made.view(np.int64))], names=["id", "h", "h1", "h2", "fp"])
 
-    hashed = held.select("id", F.md5(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    fps = hashed.mapInArrow(run, "id long, h string, fp long")
-    best = F.min(F.struct("id", "fp", "h")).alias("s")
+    rows = hashed(df).where(id_.isNotNull()).select(id_.alias("id"), F.md5(F.coalesce(text, F.lit(""))).alias("h"), "h1", "h2", text.alias("text"))
+    fps = stage(rows.mapInArrow(run, "id long, h string, h1 long, h2 long, fp long"), f"{folder}/fingerprints")
+    best = F.min(F.struct("id", "fp", "h", "h1", "h2")).alias("s")
     nodes = stage(fps.groupBy("fp").agg(best).withColumn("node", F.monotonically_increasing_id()), f"{folder}/nodes")
     parts = components(links(nodes, radius, folder=folder), folder)
     first = nodes.join(parts, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("s").alias("s"))
-    first = stage(first.select(F.col("s.id").alias("_first"), F.col("s.h").alias("_text")), f"{folder}/first")
-    kept = df.withColumn("_hash", digest).join(first, (F.col(id_col) == F.col("_first")) & (F.col("_hash") == F.col("_text")), "left_semi")
-    return kept.dropDuplicates([id_col, "_hash"]).drop("_hash").unionByName(df.where(df[id_col].isNull()))
+    return first_rows(df, stage(first.select("s.h1", "s.h2"), f"{folder}/first"), id_col, fps)
+
+
+def first_rows(df: DataFrame, first: DataFrame, id_col: str, all_rows: DataFrame) -> DataFrame:
+    """The rows of df that first (h1, h2; see hashed) names, each once, and those without an id.
+
+    all_rows has h1, h2 of every row with an id. Only if rows are equal in all columns are the rows
+    aggregated; else the join is all, which shuffles no text where first is small enough to be
+    broadcast by its written size."""
+    id_ = F.col(place(df, id_col)).cast("long")
+    kept = hashed(df).where(id_.isNotNull()).join(first.toDF("r1", "r2"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left_semi")
+    if not all_rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["h1", "h2"])
+    return named(kept, df).union(named(numbered(df).where(id_.isNull()), df))
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -79,6 +79,42 @@ def quality(text):
     return len(w), sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w)
 
 
+def learned_bands(docs, labels, least_texts=50, tail=0.002, room=0.03):
+    """[(bytes, low, high)] of length classes, from the good texts outside the held-out fold."""
+    import numpy as np
+    import zstandard
+
+    wide = [(0, 0.40, 2.00), (128, 0.34, 1.10), (256, 0.30, 0.92), (512, 0.28, 0.82), (1024, 0.26, 0.74), (2048, 0.24, 0.70), (8192, 0.20, 0.68)]
+    z = zstandard.ZstdCompressor(level=3)
+    good = {t for i, t in docs if i is not None and labels.get(i) == 1 and zlib.crc32(str(i).encode()) % 5 and t}
+    found = [(len(t.encode()), len(z.compress(t.encode())) / len(t.encode())) for t in good if not quality(t)[-1]]
+    out = []
+    for k, (least, low, high) in enumerate(wide):
+        own = [r for n, r in found if n >= least and (k + 1 == len(wide) or n < wide[k + 1][0])]
+        if len(own) >= least_texts:
+            low, high = np.quantile(own, tail) * (1 - room), np.quantile(own, 1 - tail) * (1 + room)
+        out.append((least, low, high))
+    return out
+
+
+def kept(text, bands):
+    """Whether the base rules and the bands of the whole text and of its 4 KB chunks let it through."""
+    import zstandard
+
+    if quality(text)[-1]:
+        return False
+    z, data = zstandard.ZstdCompressor(level=3), text.encode()
+
+    def outside(piece):
+        low, high = [b[1:] for b in bands if len(piece) >= b[0]][-1]
+        return not low <= len(z.compress(piece)) / len(piece) <= high
+
+    pieces = [data[k : k + 4096] for k in range(0, len(data), 4096)]
+    if len(pieces) > 1 and len(pieces[-1]) < 2048:
+        pieces[-2:] = [pieces[-2] + pieces[-1]]
+    return not outside(data) and 4 * sum(len(p) for p in pieces if outside(p)) <= len(data)
+
+
 def items(text):
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
@@ -106,12 +142,12 @@ def decontamination(docs, bench, window=10):
     return out
 
 
-def tokens(docs, tokenizer, end=0):
-    """[(id, start, n_tokens, crc32)] in ascending order of ids."""
+def tokens(docs, tokenizer, end=0, ascending=True):
+    """[(id, start, n_tokens, crc32)] in ascending order of ids, or in that of docs."""
     import struct
 
     at, out = 0, []
-    for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, d[1] or "")):
+    for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, d[1] or "")) if ascending else docs:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, end]
         out.append((i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         at += len(ids)

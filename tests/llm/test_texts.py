@@ -223,12 +223,14 @@ def test_fingerprint_is_a_majority():
 BENCH = [(1, prose(40, 50)), (2, prose(6, 51)), (3, "Zebra"), (4, None), (5, "..."), (6, prose(40, 50)), (None, prose(12, 52)), (10, prose(11, 53))]
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_decontamination(docs, spark, limit):
+@pytest.mark.parametrize("bits", [20, 2])
+def test_decontamination(docs, spark, bits, monkeypatch):
+    """Filters that pass nearly every window give the same as those that pass nearly none."""
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
     more = [(1, prose(5, 1) + " " + prose(40, 50).upper() + " " + prose(9, 2)), (2, "a-zebra!"), (3, prose(11, 53)), (4, prose(30, 50)), (4, prose(30, 50)), (None, prose(11, 53))]
     held = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
-    got = decontaminate.report(held, bench, broadcast_bytes=limit)
+    got = decontaminate.report(held, bench)
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     want = decontamination(DOCS + more, [b for b in BENCH if b[0] is not None])
     assert rows(got, *names) == sorted(want, key=repr) and sum(w[-1] for w in want) >= 6
@@ -244,21 +246,80 @@ def test_decontamination_removes(docs, spark):
     assert decontaminate.report(docs.limit(0), bench).collect() == []
 
 
+def queue(docs, weights=(3, 1, 2), budget=1.5, repeats=2):
+    """[(id, source, text, taken, copies)] and the copies in order, by one plain loop over
+    [(id, source, text)]."""
+    import hashlib
+
+    from brute import words
+
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    names = sorted({s for _, s, _ in docs}, key=lambda s: (s is None, (s or "").encode()))
+    size = {s: sum(len(words(t)) for _, x, t in docs if x == s) for s in names}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    target, left, open_ = {}, budget * sum(size.values()), set(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > repeats * size[s]}
+        target |= {s: float(repeats * size[s]) for s in over} if over else {s: weight[s] * level for s in open_}
+        left -= sum(repeats * size[s] for s in over)
+        open_ = open_ - over if over else set()
+    copies = []
+    for s in names:
+        own = sorted((md5(f"mix:{'' if i is None else i}:{md5(t or '')}"), n, i, t) for n, (i, x, t) in enumerate(docs) if x == s)
+        at = 0
+        for k in range(repeats):
+            for _, n, _, t in own:
+                w = len(words(t))
+                copies.append(((at + w) / target[s] if target[s] else 0.0, "n" if s is None else "s" + s, at, n, w))
+                at += w
+    left, taken, whole, sent = int(min(budget, repeats) * sum(size.values())), [0] * len(docs), [0] * len(docs), []
+    for *_, n, w in sorted(copies, key=lambda c: c[:3] + (c[4],)):
+        take = min(w, left)
+        left -= take
+        taken[n] += take
+        if take == w and (w or left):
+            whole[n] += 1
+            sent.append(docs[n])
+    return target, [(*d, t, c) for d, t, c in zip(docs, taken, whole, strict=True)], sent
+
+
 def test_mixing(docs, odd, spark):
+    plain = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    target, want, sent = queue(plain)
     plan = mixing.schedule(docs).collect()
-    sources = {}
-    for r in plan:
-        s = sources.setdefault(r.source, [0, 0, r.target])
-        s[0] += r.size
-        s[1] += r.taken
-        assert r.taken <= 2 * r.size and r.source_size >= r.size
-    total = sum(s[0] for s in sources.values())
-    assert abs(sum(s[2] for s in sources.values()) - 1.5 * total) < 1e-6
-    assert all(s[1] == int(s[2]) and s[2] <= 2 * s[0] + 1e-9 for s in sources.values())
+    assert sorted(((r.doc_id, r.source, r.size, r.taken) for r in plan), key=repr) == sorted(((i, s, len((t or "").encode().split()), n) for i, s, t, n, _ in want), key=repr)
+    assert all(r.target == pytest.approx(target[r.source]) for r in plan)
     assert rows(mixing.schedule(docs), "doc_id", "taken") == rows(mixing.schedule(docs.repartition(7)), "doc_id", "taken")
     mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {i for i, _ in DOCS}
-    assert mixing.schedule(odd).count() == 5 and mixing.schedule(docs.limit(0)).collect() == [] and mixing.mix(odd).count() > 0
+    words = lambda x: [(i, t) for i, t in x if (t or "").split()]
+    assert mixed.columns == docs.columns
+    assert words([(r.doc_id, r.text) for r in mixed.collect()]) == words([(i, t) for i, _, t in sent])
+    assert mixing.schedule(odd).count() == 5 and mixing.schedule(docs.limit(0)).collect() == [] and mixing.mix(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_queue_is_near_the_closed_form(spark, seed):
+    """At virtual time 1 each source would have sent its target; the cut in the global order differs
+    by the documents in service."""
+    r = random.Random(seed)
+    held = [(n, r.choice(["a", "b", "c", None]), "w " * r.randrange(40)) for n in range(150)]
+    plan = mixing.schedule(spark.createDataFrame(held, "doc_id long, source string, text string")).collect()
+    total = sum(x.size for x in plan)
+    assert sum(x.taken for x in plan) == int(1.5 * total) and all(0 <= x.taken <= 2 * x.size for x in plan)
+    for s in {x.source for x in plan}:
+        own = [x for x in plan if x.source == s]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= 3 * 40
+
+
+def test_equal_rows_are_mixed_as_planned(spark):
+    held = [(7, "a", "one two three", 1)] * 20 + [(7, "a", "one two three", 2)] * 3 + [(None, "b", "four five", 1)] * 10 + [(n, "c", "w " * n, 1) for n in range(8)]
+    df = spark.createDataFrame(held, "doc_id long, source string, text string, more int")
+    sent = queue([x[:3] for x in held])[2]
+    got = [(r.doc_id, r.source, r.text) for r in mixing.mix(df).collect()]
+    drop_empty = lambda x: sorted((y for y in x if y[2]), key=repr)
+    assert drop_empty(got) == drop_empty(sent)
+    assert len(got) == sum(x.copies for x in mixing.schedule(df).collect())
 
 
 def test_mixing_over_many_buckets(spark, monkeypatch):

@@ -132,28 +132,65 @@ def test_sql(spark, name):
 
 @tables
 def test_pipeline(spark):
-    """run() against plain versions of its stages."""
+    """run() against plain versions of its stages, one row after another."""
     import corpus_pipeline
     import public_tokenizers
-    import zstandard
     from tokenizers import Tokenizer
 
-    from brute import decontamination, simhash, tokens
-    from sedgeflow.llm import mixing, quality_bands
+    from brute import decontamination, kept, learned_bands, tokens
+    from test_similar import first
+    from test_texts import queue
 
     rows = [r.asDict() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
-    z = zstandard.ZstdCompressor(level=3)
-    rows = [r for r in rows if quality_bands.judge(r["text"], z)[-1]]
-    first = simhash([(r["doc_id"], r["text"]) for r in rows])
-    rows = [r for r in rows if first[r["doc_id"]][1] == r["doc_id"]]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    bands = learned_bands([(r["doc_id"], r["text"]) for r in rows], labels)
+    rows = [r for r in rows if kept(r["text"], bands)]
+    stay = set(first([(r["doc_id"], r["text"]) for r in rows]))
+    rows = [r for r in rows if r["doc_id"] in stay]
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     clean = {x[0] for x in decontamination([(r["doc_id"], r["text"]) for r in rows], bench) if not x[-1]}
     rows = [r for r in rows if r["doc_id"] in clean]
-    plan = {r.doc_id: r.copies for r in mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
-    mixed = [(r["doc_id"], r["text"]) for r in rows for _ in range(plan[r["doc_id"]])]
-    want = tokens(mixed, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
-    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, DATA).collect())
-    assert got == sorted(want)
+    mixed = [(i, t) for i, _, t in queue([(r["doc_id"], r["source"], r["text"]) for r in rows])[2]]
+    want = tokens(mixed, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), ascending=False)
+    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, DATA).collect()), key=lambda r: r[1])
+    assert got == want
+
+
+CLASHES = ["_id", "_key", "_first", "_copy", "_n", "spans", "id", "h1", "DOC_ID", "Text", "at", "_0", "node", "finish_time"]
+
+
+def clashing(spark):
+    """Documents with nulls, empties, repeats and columns named as operators' own; two only differ in
+    case. Parquet can't hold those, so they come from memory."""
+    texts = [" ".join(f"{x}{n}" for n in range(40)) for x in "abcdef"]
+    rows = [(1, texts[0], "s1"), (1, texts[1], "s1"), (2, texts[0], None), (2, texts[0], None), (None, texts[2], "s2"), (None, None, None), (3, "", "s2"), (4, None, "s1"), (5, texts[3] + " " + texts[4], "s2"), (6, texts[5] * 30, "s1")]
+    schema = "doc_id long, text string, source string, lang string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHES)
+    return rows, spark.createDataFrame([(*r, "en", 1, *range(len(CLASHES))) for r in rows], schema), texts
+
+
+def test_stages_with_clashing_names(spark):
+    """Every operator that a stage calls, on rows with nulls, repeats and clashing columns."""
+    from sedgeflow.llm import decontaminate, mixing, quality_bands, simhash, similar
+
+    rows, docs, texts = clashing(spark)
+    back = lambda df: sorted(((r[0], r[1]) for r in df.collect()), key=repr)
+    bench = spark.createDataFrame([(1, texts[3])], "item_id long, text string")
+    long = [(i, t) for i, t, _ in rows if len((t or "").split()) >= 20]
+    for made, want in (
+        (quality_bands.keep(docs), [x for x in long if len(x[1].split()) < 1000]),
+        (similar.drop_similar(docs), [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, None), (3, ""), rows[8][:2], rows[9][:2]]),
+        (simhash.drop_near_duplicates(docs), [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, None), (3, ""), rows[8][:2], rows[9][:2]]),
+        (decontaminate.decontaminate(docs, bench), [(i, t) for i, t, _ in rows if i != 5]),
+        (decontaminate.decontaminate(docs, bench, "spans"), [(i, t if i != 5 else " " + texts[4]) for i, t, _ in rows]),
+    ):
+        assert made.columns == docs.columns
+        assert back(made) == sorted(want, key=repr)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {(r[0], r[1]) for r in mixed.collect()} <= {(i, t) for i, t, _ in rows}
+    assert len(mixed.collect()) == sum(r.copies for r in mixing.schedule(docs).collect())
+    for step in (quality_bands.keep, similar.drop_similar, simhash.drop_near_duplicates, lambda d: decontaminate.decontaminate(d, bench), mixing.mix):
+        none = step(docs.limit(0))
+        assert none.columns == docs.columns and none.collect() == []
 
 
 def test_stages_keep_columns():
