@@ -17,7 +17,8 @@ from sedgeflow.llm.common import bounded, lower_ascii, pick, shared_dir, stage
 #: (verdict, rule): a rule is a host, then the start of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-# Names from which the classifier learns, besides rows that a caller labels.
+# Names from which the classifier learns, besides the urls that rules judge and those
+# that a caller labels.
 BLOCKED = (
     "cheap-pills", "spam-farm", "online-casino-bonus", "free-porn-videos", "adult-sex-cams", "buy-viagra-online", "payday-loans-fast",
     "replica-watches-outlet", "poker-betting-tips", "warez-crack-download", "torrent-free-movies", "hot-singles-chat", "xxx-tube",
@@ -30,11 +31,11 @@ ALLOWED = (
     "local-history", "math-forum", "language-course", "research-institute", "art-gallery", "football-club", "kitchen-blog",
     "nature-park", "software-manual", "world-atlas", "family-doctor",
 )
-#: Most words that unigrams() takes to the driver, and least count of a word.
-VOCABULARY, LEAST = 50_000, 3
 LONGEST = 20
-#: Levels of counts for each doubling.
-LEVELS = 16
+#: Most words that unigrams() takes to the driver; it fails beyond that.
+DRIVER_WORDS = 1_000_000
+#: A fixed name counts as one url in so many that are learned from.
+NAME_SHARE = 1000
 #: Share of urls taken to be bad before any word is seen.
 PRIOR = 0.3
 SMOOTHING = 0.5
@@ -61,26 +62,19 @@ def ruling(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULE
     return F.coalesce(*cases, F.lit(None)) if cases else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def counted(pages: DataFrame, least: int = LEAST, text_col: str = "html") -> DataFrame:
+def counted(pages: DataFrame, least: int = 1, text_col: str = "html") -> DataFrame:
     """w, count of every word of all pages' visible text that occurs so often, as a written table."""
-    text = F.regexp_replace(F.col(text_col), r"<[^>]*>", " ")
-    words = pick(pages, text_col).select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(rf"\b([a-z]{{2,{LONGEST}}})\b"), F.lit(1))).alias("w"))
+    text = F.lower(F.regexp_replace(F.col(text_col), r"<[^>]*>", " "))
+    words = pick(pages, text_col).select(F.explode(F.regexp_extract_all(text, F.lit(rf"\b([a-z]{{2,{LONGEST}}})\b"), F.lit(1))).alias("w"))
     return stage(words.groupBy("w").count().where(F.col("count") >= least), f"{shared_dir(pages.sparkSession)}/unigrams")
 
 
-def unigrams(pages: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, text_col: str = "html") -> dict[str, int]:
-    """The most frequent of the counted words, at most `vocabulary` of them, on the driver: for small
-    tables. Words are taken by whole levels of the logarithm of their counts."""
-    counts = counted(pages, least, text_col).withColumn("level", F.floor(F.log2("count") * LEVELS).cast("int"))
-    held, lowest = 0, None
-    for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # a few hundred rows at most
-        held += r["n"]
-        if held > vocabulary:
-            break
-        lowest = r["level"]
-    if lowest is None:
-        return {}
-    return {r["w"]: r["count"] for r in counts.where(F.col("level") >= lowest).collect()}
+def unigrams(pages: DataFrame, least: int = 1, text_col: str = "html") -> dict[str, int]:
+    """The same on the driver, for small tables: fails if there are more than DRIVER_WORDS."""
+    rows = counted(pages, least, text_col).limit(DRIVER_WORDS + 1).collect()
+    if len(rows) > DRIVER_WORDS:
+        raise ValueError("too many words for the driver; use counted()")
+    return {r["w"]: r["count"] for r in rows}
 
 
 @dataclass
@@ -117,34 +111,14 @@ class Segmenter:
         return [w for run in _RUNS.findall(text.lower()) for w in self.split(run)]
 
 
-@dataclass
-class Bayes:
-    """Multinomial naive Bayes: log odds of block against allow for each token."""
-
-    odds: dict[str, float]
-    prior: float
-
-    @classmethod
-    def learn(cls, blocked: list[list[str]], allowed: list[list[str]], prior: float = PRIOR) -> "Bayes":
-        bad, good = Counter(t for x in blocked for t in x), Counter(t for x in allowed for t in x)
-        size = len(bad.keys() | good.keys())
-        n_bad, n_good = sum(bad.values()) + SMOOTHING * size, sum(good.values()) + SMOOTHING * size
-        odds = {t: math.log((bad[t] + SMOOTHING) / n_bad) - math.log((good[t] + SMOOTHING) / n_good) for t in bad.keys() | good.keys()}
-        return cls(odds, math.log(prior / (1 - prior)))
-
-    def score(self, tokens: list[str]) -> float:
-        """Tokens that no class has seen tell nothing."""
-        return self.prior + sum(self.odds.get(t, 0.0) for t in tokens)
-
-
 def _substrings(run: str) -> set[str]:
     return {run[k : k + n] for n in range(2, LONGEST + 1) for k in range(len(run) - n + 1)}
 
 
-def _cut(parts: DataFrame, counts: DataFrame, named: Counter, total: int, folder: str) -> DataFrame:
-    """_n, words (in order) of each row of parts (_n, runs). Only substrings of the runs are looked up
+def _cut(runs: DataFrame, counts: DataFrame, named: Counter, total: int, folder: str) -> DataFrame:
+    """run, words (in order) of each distinct run, written. Only substrings of the runs are looked up
     among the counts, and each run is cut once, by the counts of its own substrings."""
-    runs = stage(parts.select(F.explode("runs").alias("run")).distinct().withColumn("r", F.monotonically_increasing_id()), f"{folder}/runs")
+    runs = stage(runs.distinct().withColumn("r", F.monotonically_increasing_id()), f"{folder}/runs")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -171,23 +145,41 @@ def _cut(parts: DataFrame, counts: DataFrame, named: Counter, total: int, folder
 
     met = runs.select("run", "r").mapInArrow(spread, "r long, w string").join(counts, "w")
     seen = met.groupBy("r").agg(F.collect_list(F.struct("w", "count")).alias("seen"))
-    cut = stage(runs.join(seen, "r", "left").select("run", "seen").mapInArrow(split, "run string, words array<string>"), f"{folder}/cut")
-    placed = parts.select("_n", F.posexplode("runs").alias("at", "run")).join(cut, "run")
-    inorder = F.array_sort(F.collect_list(F.struct("at", "words")))
-    return placed.groupBy("_n").agg(F.flatten(F.transform(inorder, lambda x: x["words"])).alias("words"))
+    return stage(runs.join(seen, "r", "left").select("run", "seen").mapInArrow(split, "run string, words array<string>"), f"{folder}/cut")
+
 
+def _odds(urls: DataFrame, cut: DataFrame, names: DataFrame, folder: str) -> DataFrame:
+    """w, odds: multinomial naive Bayes' log odds of block against allow of each word that a url with
+    a known class (urls: runs, known) or a fixed name (names: w, bad, good) has, written.
 
-def judge_urls(pages: DataFrame, counts: dict[str, int] | DataFrame, rules: tuple[tuple[str, str], ...] = RULES, blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    Runs are counted by class before they are joined with their words, so a run that a third of
+    all urls have is one row."""
+    known = urls.where("known IS NOT NULL").select("known", F.explode("runs").alias("run"))
+    per_run = stage(known.groupBy("run").agg(F.count_if(F.col("known") == "block").alias("bad"), F.count_if(F.col("known") == "allow").alias("good")), f"{folder}/classes")
+    share = F.greatest(F.lit(1), F.floor(F.lit(urls.where("known IS NOT NULL").count() / NAME_SHARE)))
+    words = per_run.join(cut, "run").select(F.explode("words").alias("w"), "bad", "good")
+    words = words.unionByName(names.select("w", (F.col("bad") * share).alias("bad"), (F.col("good") * share).alias("good")))
+    model = stage(words.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), f"{folder}/model")
+    size = model.agg(F.count(F.lit(1)), F.sum("bad"), F.sum("good")).first()
+    bad, good = (F.lit((n or 0) + SMOOTHING * size[0]) for n in size[1:])
+    return model.select("w", (F.log((F.col("bad") + SMOOTHING) / bad) - F.log((F.col("good") + SMOOTHING) / good)).alias("odds"))
+
+
+def judge_urls(pages: DataFrame, counts: dict[str, int] | DataFrame, rules: tuple[tuple[str, str], ...] = RULES, blocked: tuple[str, ...] = BLOCKED, allowed: tuple[str, ...] = ALLOWED, labels: DataFrame | None = None, held_out: int = 0, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for each row: id, host, path, rule (the longest that fits, else null), verdict (allow
     or block: the rule's, else the classifier's), words (of host and path, joined by one space),
-    odds (log odds of block).
+    odds (log odds of block), guess (the classifier's verdict, with a rule too).
 
     Host names run words together; the segmenter cuts each run of letters of host and path by the
-    unigram counts, to which the words of the labelled names are added, and naive Bayes adds up the
-    words' log odds. Counts are a table of counted(), of any size, or a dict of few words. A url
-    that is null or has no :// has an empty host and path and no words: the prior decides (allow).
-    Null ids are kept, repeated rows give a row each, other columns are ignored, an empty table
-    gives an empty one.
+    unigram counts, to which the words of the fixed names are added. Naive Bayes learns from all
+    urls that a rule judges, from labels (url, verdict: block or allow), and from the fixed names,
+    and adds up the words' log odds; words that no class has seen tell nothing. With held_out, rows
+    whose crc32(id as text) mod held_out is 0 aren't learned from, so that guess can be held against
+    their rules' verdicts. Counts are a table of counted(), of any size, or a dict of few words.
+
+    A url that is null or has no :// has an empty host and path and no words: the prior decides
+    (allow). Null ids are kept, repeated rows give a row each (and are learned from each), other
+    columns are ignored, whatever their names, an empty table gives an empty one.
     """
     spark = pages.sparkSession
     bounded(spark)
@@ -199,35 +191,34 @@ def judge_urls(pages: DataFrame, counts: dict[str, int] | DataFrame, rules: tupl
     strength = max(1, size // 10_000)
     named = Counter({w: n * strength for w, n in named.items()})
     total = size + sum(named.values())
-    # What the labelled names' own substrings count: as many rows as the names' letters allow.
+    # What the fixed names' own substrings count: as many rows as the names' letters allow.
     few = spark.createDataFrame([(w,) for w in sorted({x for w in named for x in _substrings(w)})], "w string")
     known = Counter({r["w"]: r["count"] for r in counts.join(F.broadcast(few), "w", "left_semi").collect()})
     known.update(named)
     cutter = Segmenter(dict(known), total=total)
-    model = Bayes.learn([cutter.tokens(x) for x in blocked], [cutter.tokens(x) for x in allowed])
-
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = [_RUNS.findall(h.lower()) + _RUNS.findall(p.lower()) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, pa.list_(pa.string()))], names=[id_col, "host", "path", "rule", "said", "runs"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            verdicts, words = batch.column(4).to_pylist(), [w or [] for w in batch.column(5).to_pylist()]
-            odds = [model.score(w) for w in words]
-            said = [v or ("block" if o > 0 else "allow") for v, o in zip(verdicts, odds, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(4)), pa.array(said, pa.string()), pa.array(map(" ".join, words), pa.string()), pa.array(odds, pa.float64())],
-                names=[id_col, "host", "path", "rule", "verdict", "words", "odds"],
-            )
-
-    held = pick(pages, id_col, **{url_col: "string"})
-    kind = held.schema[id_col].dataType.simpleString()
-    host, path = host_and_path(F.col(url_col))
-    parts = held.select(id_col, host.alias("host"), path.alias("path"))
-    ruled = parts.withColumn("_r", ruling(F.col("host"), F.col("path"), rules)).select(id_col, "host", "path", "_r.rule", "_r.verdict")
-    lettered = ruled.mapInArrow(letters, f"`{id_col}` {kind}, host string, path string, rule string, said string, runs array<string>")
+    seeds = [(w, int(x in blocked), int(x in allowed)) for x in (*blocked, *allowed) for w in cutter.tokens(x)]
+
+    held = pick(pages, id_col, **{url_col: "string"}).toDF("id", "url")
+    host, path = host_and_path(F.col("url"))
+    parts = held.select("id", host.alias("host"), path.alias("path")).withColumn("r", ruling(F.col("host"), F.col("path"), rules))
+    learned = F.coalesce(F.crc32(F.col("id").cast("string")) % held_out != 0, F.lit(True)) if held_out else F.lit(True)
+    urls = parts.select("id", "host", "path", "r.rule", "r.verdict", F.when(learned, F.col("r.verdict")).alias("known"), F.lit(True).alias("asked"))
+    if labels is not None:
+        host, path = host_and_path(F.col("url"))
+        more = pick(labels, url="string", verdict="string").where(F.col("verdict").isin("block", "allow"))
+        none = F.lit(None)
+        urls = urls.unionByName(more.select(none.cast(urls.schema["id"].dataType).alias("id"), host.alias("host"), path.alias("path"), none.cast("string").alias("rule"), none.cast("string").alias("verdict"), F.col("verdict").alias("known"), F.lit(False).alias("asked")))
+    runs = F.array_remove(F.split(F.lower(F.concat_ws("/", "host", "path")), "[^a-z]+"), "")
     folder = shared_dir(spark)
-    lettered = stage(lettered.withColumn("_n", F.monotonically_increasing_id()), f"{folder}/runs-of-urls")
-    worded = lettered.join(_cut(lettered, counts, named, total, folder), "_n", "left").select(id_col, "host", "path", "rule", "said", "words")
-    return worded.mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, words string, odds double")
+    urls = stage(urls.withColumn("runs", runs).withColumn("n", F.monotonically_increasing_id()), f"{folder}/urls")
+    cut = _cut(urls.select(F.explode("runs").alias("run")), counts, named, total, folder)
+    odds = _odds(urls, cut, spark.createDataFrame(seeds, "w string, bad long, good long"), folder)
+    scored = cut.select("run", F.explode("words").alias("w")).join(odds, "w").groupBy("run").agg(F.sum("odds").alias("odds"))
+    scored = stage(cut.join(scored, "run", "left"), f"{folder}/scored")
+    placed = urls.where("asked").select("n", F.posexplode("runs").alias("at", "run")).join(scored, "run")
+    inorder = F.array_sort(F.collect_list(F.struct("at", "words")))
+    worded = placed.groupBy("n").agg(F.flatten(F.transform(inorder, lambda x: x["words"])).alias("words"), F.sum("odds").alias("odds"))
+    all_odds = F.lit(math.log(PRIOR / (1 - PRIOR))) + F.coalesce("odds", F.lit(0.0))
+    guess = F.when(all_odds > 0, "block").otherwise("allow")
+    met = urls.where("asked").join(worded, "n", "left")
+    return met.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", guess).alias("verdict"), F.coalesce(F.array_join("words", " "), F.lit("")).alias("words"), all_odds.alias("odds"), guess.alias("guess"))
