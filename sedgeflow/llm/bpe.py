@@ -1,10 +1,13 @@
 """Encoding whole texts with a public tokenizer, in batches of pieces cut at safe boundaries.
 
-A byte-level BPE without normaliser cuts a text into pieces before it merges, and a single space
-before a character that is not white space always starts a piece. So the text may be cut there,
-and equal pieces have equal ids wherever they stand: the library encodes each distinct piece of a
-worker once, in batches, and a text's ids are its pieces' ids in order. Texts that hold the string
-of a special token, and tokenizers of any other kind, go to the library whole.
+A byte-level BPE without normaliser cuts a text into pieces before it merges. Such a piece is a run of
+letters, of digits, of other signs or of white space, the first three perhaps behind one space. So a
+piece always starts at a space before a character that is no white space, at a line end behind one,
+and at a punctuation mark behind a letter or digit: there a text may be cut, and equal parts have equal
+ids wherever they stand. The library encodes each distinct part of a group of texts once, in batches,
+and a text's ids are its parts' ids in order. A run of letters that nothing interrupts is one piece
+however long it is. The strings of special tokens are cut out first. Tokenizers of any other kind get
+whole texts.
 """
 
 from __future__ import annotations
@@ -14,14 +17,18 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 
-#: Pieces that a worker remembers (about 200 MB); beyond this it starts afresh.
-PIECES = 1_000_000
-#: Distinct new pieces that one call of the library encodes.
-BATCH = 4096
+#: Bytes, about, of the parts that a worker remembers; beyond this it starts afresh. Longer parts than
+#: LONG characters are forgotten with their group.
+HELD_BYTES, LONG = 128 << 20, 64
+#: Distinct new parts that one call of the library encodes, and their characters.
+BATCH, BATCH_CHARS = 4096, 1 << 18
 
 _CUT = re.compile(r" (?=\S)")
-#: A piece of letters only: the pre-tokenizer leaves it whole, so the model takes it at once.
+#: Further cuts, in parts that are long without any space.
+_FINER = re.compile(r"(?<=\S)(?=\n)|(?<=[^\W_])(?=[.,;:!?\u2026\u3001\u3002\uff0c\uff01\uff1f\uff1b\uff1a\u300c\u300d\uff08\uff09])")
+#: A part of letters only: the pre-tokenizer leaves it whole, so the model takes it at once.
 _LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
@@ -68,45 +75,77 @@ class Encoder:
             and not pre.get("add_prefix_space")
             and pre.get("use_regex", True)
         )
-        special = [t["content"] for t in made.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        special = {t["content"]: t for t in made.get("added_tokens", [])}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.splits = self.splits and not any(t.get(k) for t in special.values() for k in ("lstrip", "rstrip", "single_word"))
         self.ids: dict[str, bytes] = {}
+        self.fixed = {text: self._bytes([t["id"]]) for text, t in special.items()}
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         if self.sp is not None:
             return self.sp.encode(texts, num_threads=1)
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> list[str] | None:
-        if not self.splits or (self.special is not None and self.special.search(text)):
-            return None
+    def parts(self, text: str) -> list[str]:
+        """The text, cut at safe boundaries."""
+        if self.special is not None and self.special.search(text):
+            return [p for k, x in enumerate(self.special.split(text)) if x for p in ([x] if k % 2 else self.parts(x))]
         head, *rest = _CUT.split(text)
-        return [head, *[" " + x for x in rest]]
-
-    def learn(self, cut: list[list[str] | None]) -> None:
-        """Asks the library for the pieces of some texts that aren't known yet."""
-        pieces = set().union(*(x for x in cut if x))
-        new = [p for p in pieces if p not in self.ids]
-        if len(self.ids) + len(new) > PIECES:
+        made = [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
+        if len(text) > (LONG >> 1) * len(made):
+            made = [q for p in made for q in ([p] if len(p) <= LONG else _FINER.split(p))]
+        return made
+
+    def learn(self, cut: list[list[str]]) -> dict[str, bytes]:
+        """Asks the library for the parts of some texts that aren't known yet; the ids of the parts of
+        these texts that aren't remembered."""
+        parts = set().union(*cut)
+        new = [p for p in parts if p not in self.ids]
+        if self.held > HELD_BYTES:
             self.ids.clear()
-            new = list(pieces)
-        for p in filter(_LETTERS.fullmatch, new):
-            self.ids[p] = self._word(p)
-        new = [p for p in new if p not in self.ids]
-        for i in range(0, len(new), BATCH):
-            part = new[i : i + BATCH]
-            for p, ids in zip(part, self.whole(part), strict=True):
-                self.ids[p] = self._bytes(ids)
-
-    def _word(self, piece: str) -> bytes:
-        return self._bytes([t.id for t in self.lib.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))])
+            self.held = 0
+            new = list(parts)
+        once = {}
+        for p in new:
+            if p in self.fixed:
+                once[p] = self.fixed[p]
+            elif _LETTERS.fullmatch(p):
+                self._keep(p, self._word(p), once)
+        new = [p for p in new if p not in self.ids and p not in once]
+        while new:
+            n = chars = 0
+            while n < len(new) and n < BATCH and (chars := chars + len(new[n])) <= BATCH_CHARS:
+                n += 1
+            n = max(n, 1)
+            for p, ids in zip(new[:n], self.whole(new[:n]), strict=True):
+                self._keep(p, self._bytes(ids), once)
+            del new[:n]
+        return once
+
+    def _keep(self, part: str, ids: bytes, once: dict[str, bytes]) -> None:
+        if len(part) > LONG:
+            once[part] = ids
+        else:
+            self.ids[part] = ids
+            self.held += 4 * len(part) + len(ids) + 160  # both objects and their place in the dictionary
+
+    def _word(self, part: str) -> bytes:
+        return self._bytes([t.id for t in self.lib.model.tokenize(part.encode().decode("latin-1").translate(_BYTES))])
+
+    def _found(self, texts: list[str | None]) -> Iterator[Iterator[bytes]]:
+        cut = [self.parts(t) if t else [] for t in texts]
+        once = self.learn(cut)
+        known = self.ids.get
+        return ((known(p) or once[p] for p in parts) for parts in cut)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as unsigned 32-bit little-endian integers."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        self.learn(cut)
-        known = self.ids.__getitem__
-        return [self._bytes(self.whole([t])[0]) if parts is None else b"".join(map(known, parts)) for t, parts in zip(texts, cut, strict=True)]
+        return [b"".join(found) for found in self._found(texts)] if self.splits else [self._bytes(x) for x in self.whole([t or "" for t in texts])]
+
+    def lengths(self, texts: list[str | None]) -> list[int]:
+        """How many ids each text has; they aren't put together."""
+        return [sum(map(len, found)) // 4 for found in self._found(texts)] if self.splits else list(map(len, self.whole([t or "" for t in texts])))
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:

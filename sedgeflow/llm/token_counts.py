@@ -15,19 +15,21 @@ from sedgeflow.llm.common import bounded, pick
 GROUP_BYTES = 1 << 20
 
 
-def balanced(texts: list[str | None], most: int) -> Iterator[list[int]]:
-    """Indices of consecutive texts, up to `most` bytes together, or one longer text."""
-    group: list[int] = []
-    held = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if group and held + n > most:
-            yield group
-            group, held = [], 0
-        group.append(i)
-        held += n
-    if group:
-        yield group
+def sizes(texts: pa.Array) -> pa.Array:
+    """UTF-8 bytes of each text; null has none."""
+    return pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+
+
+def balanced(held: list[int], most: int = GROUP_BYTES) -> Iterator[slice]:
+    """Groups of consecutive texts of so many bytes: up to `most` together, or one longer text."""
+    lo = together = 0
+    for i, n in enumerate(held):
+        if i > lo and together + n > most:
+            yield slice(lo, i)
+            lo, together = i, 0
+        together += n
+    if held:
+        yield slice(lo, len(held))
 
 
 def count_tokens(df: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,8 +37,8 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 512, id_col: str =
 
     tokenizer is the path of a tokenizers .json or a sentencepiece .model. No begin, end or other
     token is added, nothing is truncated or padded. Each Arrow batch is split into groups that are
-    balanced by bytes; the distinct pieces of a group go to the library in batches, texts being
-    split where a boundary of pieces is certain (see bpe). Only lengths leave the worker.
+    balanced by bytes; the distinct parts of a group go to the library in batches, texts being cut
+    where a boundary is certain (see bpe). Only lengths leave the worker.
 
     Null and empty texts count 0 bytes and 0 tokens; a null id is kept; repeated rows give a row
     each; other columns are ignored, whatever their names; an empty table gives an empty one.
@@ -46,16 +48,11 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 512, id_col: str =
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            counts: list[int] = []
-            for group in balanced(texts, GROUP_BYTES):
-                if enc.splits:
-                    counts += [len(ids) // 4 for ids in enc.encode([texts[i] for i in group])]
-                else:
-                    counts += map(len, enc.whole([texts[i] or "" for i in group]))
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            n_bytes, counts = sizes(batch.column(1)), []
+            for group in balanced(n_bytes.to_pylist()):
+                counts += enc.lengths(batch.column(1)[group].to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), sizes, pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
+                [batch.column(0), n_bytes, pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sedgeflow.llm import bpe
 from sedgeflow.llm.common import Store, bounded, partitions, pick, qualified, shared_dir, stage
-from sedgeflow.llm.token_counts import GROUP_BYTES, balanced
+from sedgeflow.llm.token_counts import balanced, sizes
 
 # Fixed values of the zstandard formats.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -132,10 +132,9 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int | None = 0, id
         def frames() -> Iterable[bytes]:
             batch = first
             while batch is not None:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for group in balanced(texts, GROUP_BYTES):
-                    for i, ids in zip(group, enc.encode([texts[i] for i in group]), strict=True):
-                        yield writer.document(keys[i], ids + end)
+                for group in balanced(sizes(batch.column(1)).to_pylist()):
+                    for i, ids in zip(batch.column(0)[group].to_pylist(), enc.encode(batch.column(1)[group].to_pylist()), strict=True):
+                        yield writer.document(i, ids + end)
                 batch = next(batches, None)
             yield writer.tables()
 

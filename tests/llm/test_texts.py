@@ -83,6 +83,35 @@ def test_safe_boundaries():
         assert memoryview(e.encode([text])[0]).cast("I").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_cuts_in_long_parts(name):
+    """Line ends, punctuation and scripts without spaces, in parts that are cut more finely."""
+    e, t = bpe.Encoder(PATH), Tokenizer.from_file(PATH)
+    marks = ["日本語", "。", "、", "\n", "\n\n", ".", ",", "'s", "'", "ab", "É", "9", "²", "!", "？", "\u0301", "\u00a0", " ", "_", "…", "<|endoftext|>", "\x1c"]
+    for n in range(400):
+        text = "".join(random.Random(n).choice(marks) for _ in range(120))
+        assert memoryview(e.encode([text])[0]).cast("I").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+        assert e.lengths([text, None]) == [len(t.encode(text, add_special_tokens=False).ids), 0]
+
+
+def test_remembered_parts_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "HELD_BYTES", 20_000)
+    e = bpe.Encoder(PATH)
+    for n in range(60):
+        e.encode([f"{n}" + "日本語" * 500, " ".join(f"w{n}x{k}" for k in range(20))])
+        assert e.held < 20_000 + 160 * 45 + 60_000 and all(len(p) <= bpe.LONG for p in e.ids)
+
+
+def test_groups_are_balanced_by_bytes():
+    import pyarrow as pa
+
+    texts = ["日" * 400, "a" * 400, None, "日" * 1000, "", "b"]
+    held = token_counts.sizes(pa.array(texts)).to_pylist()
+    assert held == [1200, 400, 0, 3000, 0, 1]
+    assert [texts[g] for g in token_counts.balanced(held, 1600)] == [texts[:3], texts[3:4], texts[4:]]
+    assert list(token_counts.balanced([])) == []
+
+
 def test_token_files_round_trip(docs, odd, spark):
     t = Tokenizer.from_file(PATH)
     names = ("doc_id", "start", "n_tokens", "ids_crc32")
