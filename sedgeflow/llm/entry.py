@@ -85,6 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from sedgeflow.llm import decontaminate, mixing, revisits
+    from sedgeflow.llm import decontaminate, mixing, revisits, substring_dedup
 
-    return {"op6_revisits": revisits.SQL, "op8_decontamination": decontaminate.SQL, "op9_mixing": mixing.SQL}
+    return {"op2_substring_dedup": substring_dedup.SQL, "op6_revisits": revisits.SQL, "op8_decontamination": decontaminate.SQL, "op9_mixing": mixing.SQL}

@@ -13,6 +13,8 @@ RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "last
 TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid)"
 #: Most rows, about, of captures that one task orders.
 SPAN = 1_000_000
+#: The time of captures without one: before any other.
+NO_TIME = -(1 << 62)
 
 RECORD = "record_id long, type string, url string, at long, status int, headers map<string,string>, payload string"
 
@@ -44,7 +46,8 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     (status 304) takes the latest earlier full response (type response, status 200) of its canonical
     url, of equal times that of the greatest record_id. outcome is
 
-    - full: not a revisit; headers and payload are its own;
+    - full: no revisit; headers and payload are its own;
+    - other: a revisit with another status than 304 (null is taken for it); all is its own;
     - resolved: the validators agree: etags that both have are equal after a weak mark, else
       Last-Modified fields that both have are equal, else neither sent one to compare. payload is
       the response's, headers are the response's with the RENEWED fields of the revisit;
@@ -55,24 +58,25 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     as many rows, at most `span`, by url, time and id, whatever their times are. Each piece is ordered
     by itself and takes over, where it has no earlier response of its own, the last one of the pieces
     before it. A time can go on over pieces, so each piece hands on two responses: its last, and its
-    last before its greatest time. Only record ids are moved so; the response's headers and payload
-    are joined by its id.
-
-    A null or negative time is earlier than any other; records without url, id or type are kept as
-    they are (outcome full, or orphan for a revisit). Ids are assumed to be unique: of responses
-    that repeat an id, the joined one is the one with the least url, payload. Empty tables give
-    empty ones; other columns are ignored.
+    last before its greatest time. Only record ids are moved so. Responses that no revisit asks for
+    are left out before any payload is shuffled; both sides of that join are written tables, so
+    that a response which a third of all revisits ask for is split over tasks.
+
+    A null time is earlier than any other; records without url, id or type are kept as they are
+    (outcome full, or orphan for a revisit). Of responses that repeat an id, the joined one is that
+    with the least url, payload. Repeated rows give a row each; empty tables give empty ones; other
+    columns are ignored, whatever their names.
     """
     spark = records.sparkSession
     kinds = dict(x.strip().split(" ", 1) for x in RECORD.replace("map<string,string>", "map").split(","))
     kinds["headers"] = "map<string,string>"
     held = pick(records, **kinds).withColumn("headers", _lower_keys(F.col("headers"))).withColumn("canonical", canonical_url(F.col("url")))
     full = (F.col("type") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull() & F.col("canonical").isNotNull()
-    held = held.withColumn("full", F.coalesce(full, F.lit(False))).withColumn("revisit", F.coalesce(F.col("type") == "revisit", F.lit(False)))
+    held = held.withColumn("full", F.coalesce(full, F.lit(False))).withColumn("revisit", F.coalesce((F.col("type") == "revisit") & F.coalesce(F.col("status") == 304, F.lit(True)), F.lit(False)))
     folder = shared_dir(spark)
     revisits = stage(held.where("revisit").drop("payload", "full").withColumn("_n", F.monotonically_increasing_id()), f"{folder}/revisits")
 
-    time = F.coalesce("at", F.lit(-1)).alias("at")
+    time = F.coalesce("at", F.lit(NO_TIME)).alias("at")
     sources = held.where("full").select(F.lit(None).cast("long").alias("_n"), "canonical", time, "record_id")
     narrow = sources.unionByName(revisits.where("canonical IS NOT NULL").select("_n", "canonical", time, F.lit(None).cast("long").alias("record_id")))
     narrow = stage(narrow, f"{folder}/times")
@@ -97,11 +101,16 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     carried = carried.join(ends.select(*own, "start"), list(own))
     taken = F.greatest("near", F.when(F.col("at") == F.col("start"), F.col("strict")).otherwise(F.col("loose")))
     asof = near.where(~is_full).join(carried, list(own)).select("_n", taken["record_id"].alias("source_id"))
-
-    # Payloads are shuffled once, by the id that joins them; other records aren't shuffled at all.
-    response = held.where("full").groupBy("record_id").agg(F.min(F.struct("url", "payload", F.map_entries("headers").alias("headers"))).alias("s"))
-    response = response.select(F.col("record_id").alias("source_id"), F.col("s.payload").alias("_payload"), F.map_from_entries("s.headers").alias("_headers"))
-    met = revisits.join(asof, "_n", "left").join(response, "source_id", "left")
+    asked = stage(revisits.join(asof, "_n", "left"), f"{folder}/asked")
+
+    # Payloads are shuffled by the id that joins them; other records aren't shuffled at all.
+    wanted = stage(asked.where("source_id IS NOT NULL").select(F.col("source_id").alias("record_id")).distinct(), f"{folder}/wanted")
+    response = held.where("full").select("record_id", "url", "payload", "headers").join(wanted, "record_id", "left_semi")
+    if not sources.groupBy("record_id").count().where("count > 1").isEmpty():
+        least = F.min(F.struct("url", "payload", F.map_entries("headers").alias("headers"))).alias("s")
+        response = response.groupBy("record_id").agg(least).select("record_id", "s.payload", F.map_from_entries("s.headers").alias("headers"))
+    response = stage(response.select(F.col("record_id").alias("source_id"), F.col("payload").alias("_payload"), F.col("headers").alias("_headers")), f"{folder}/responses", compression="zstd")
+    met = asked.join(response, "source_id", "left")
     tag = lambda h: F.regexp_replace(F.element_at(h, F.lit("etag")), r"\AW/", "")
     day = lambda h: F.element_at(h, F.lit("last-modified"))
     own, its = F.col("headers"), F.col("_headers")
@@ -112,28 +121,28 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     ok = F.col("outcome") == "resolved"
     same = ("record_id", "url", "canonical", "at", "type", "status")
     resolved = met.withColumn("outcome", outcome).select(*same, F.when(ok, F.col("source_id")).alias("source_id"), "outcome", F.when(ok, merged).otherwise(own).alias("headers"), F.when(ok, F.col("_payload")).alias("payload"))
-    others = held.where(~F.col("revisit")).select(*same, F.lit(None).cast("long").alias("source_id"), F.lit("full").alias("outcome"), "headers", "payload")
+    others = held.where(~F.col("revisit")).select(*same, F.lit(None).cast("long").alias("source_id"), F.when(F.col("type") == "revisit", "other").otherwise("full").alias("outcome"), "headers", "payload")
     return others.unionByName(resolved)
 
 
 def captures(pages: DataFrame) -> DataFrame:
     """A crawl log of RECORD made from pages (page_id, url, html), as their table has no revisits: an
-    hour for each page in order of id, and of each page two captures. The first is a full response,
-    unless the id leaves 3 by 11, the second a revisit half a year later, which sends another etag
-    if the id leaves 5 by 7. Ids that leave 2 by 5 have no etag but a date."""
-    p = pick(pages, page_id="long", url="string", html="string").where("page_id IS NOT NULL")
+    hour for each page in order of id, and of each page two captures. The first is a response, which
+    failed (503) if the id leaves 3 by 11, the second a revisit half a year later, which sends another
+    etag if the id leaves 5 by 7. Ids that leave 2 by 5 have no etag but a date. Pages without an id
+    have captures without id and time."""
+    p = pick(pages, page_id="long", url="string", html="string").withColumn("i", F.coalesce("page_id", F.lit(0)))
     first = F.col("k") == 0
-    etag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.when(~first & (F.col("page_id") % 7 == 5), F.lit("-new")).otherwise(F.lit("")), F.lit('"'))
-    day = F.concat(F.lit("day "), (F.col("page_id") % 365).cast("string"))
-    validator = F.when(F.col("page_id") % 5 == 2, F.create_map(F.lit("Last-Modified"), day)).otherwise(F.create_map(F.lit("ETag"), F.when(first, etag).otherwise(F.concat(F.lit("W/"), etag))))
+    etag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.when(~first & (F.col("i") % 7 == 5), F.lit("-new")).otherwise(F.lit("")), F.lit('"'))
+    day = F.concat(F.lit("day "), (F.col("i") % 365).cast("string"))
+    validator = F.when(F.col("i") % 5 == 2, F.create_map(F.lit("Last-Modified"), day)).otherwise(F.create_map(F.lit("ETag"), F.when(first, etag).otherwise(F.concat(F.lit("W/"), etag))))
     more = F.when(first, F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), F.lit("then"))).otherwise(F.create_map(F.lit("Content-Type"), F.lit("none"), F.lit("Date"), F.lit("now")))
-    kept = p.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where(~first | (F.col("page_id") % 11 != 3))
-    return kept.select(
+    return p.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         (F.col("page_id") * 2 + F.col("k")).alias("record_id"),
         F.when(first, "response").otherwise("revisit").alias("type"),
         "url",
         (F.col("page_id") * 3600 + F.col("k") * 182 * 86400).alias("at"),
-        F.when(first, 200).otherwise(304).alias("status"),
+        F.when(first & (F.col("i") % 11 == 3), 503).when(first, 200).otherwise(304).alias("status"),
         F.map_concat(validator, more).alias("headers"),
         F.when(first, F.col("html")).alias("payload"),
     )
@@ -146,11 +155,11 @@ def digest(resolved: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH p AS (SELECT page_id, url, html, k FROM pages, (VALUES (0), (1)) AS x(k) WHERE page_id IS NOT NULL AND (k = 1 OR page_id % 11 <> 3)),
+WITH p AS (SELECT page_id, coalesce(page_id, 0) AS n, url, html, k FROM pages, (VALUES (0), (1)) AS x(k)),
 rec AS (
-  SELECT page_id * 2 + k AS record_id, k = 1 AS revisit, url, page_id * 3600 + k * 182 * 86400 AS "at", CASE WHEN k = 0 THEN 200 ELSE 304 END AS status,
-         CASE WHEN page_id % 5 <> 2 THEN (CASE WHEN k = 1 THEN 'W/' ELSE '' END) || '"' || md5(coalesce(html, '')) || (CASE WHEN k = 1 AND page_id % 7 = 5 THEN '-new' ELSE '' END) || '"' END AS etag,
-         CASE WHEN page_id % 5 = 2 THEN 'day ' || CAST(page_id % 365 AS VARCHAR) END AS modified, CASE WHEN k = 0 THEN html END AS payload,
+  SELECT page_id * 2 + k AS record_id, k = 1 AS revisit, url, page_id * 3600 + k * 182 * 86400 AS "at", CASE WHEN k = 0 AND n % 11 = 3 THEN 503 WHEN k = 0 THEN 200 ELSE 304 END AS status,
+         CASE WHEN n % 5 <> 2 THEN (CASE WHEN k = 1 THEN 'W/' ELSE '' END) || '"' || md5(coalesce(html, '')) || (CASE WHEN k = 1 AND n % 7 = 5 THEN '-new' ELSE '' END) || '"' END AS etag,
+         CASE WHEN n % 5 = 2 THEN 'day ' || CAST(n % 365 AS VARCHAR) END AS modified, CASE WHEN k = 0 THEN html END AS payload,
          regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS r0 FROM p),
 cut AS (SELECT *, regexp_replace(r0, '(?s)#.*$', '') AS rest FROM rec),
 parts AS (
@@ -159,7 +168,7 @@ parts AS (
          list_filter(string_split(regexp_extract(rest, '(?s)\?(.*)$', 1), '&'), lambda x: NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)=')) AS q FROM cut),
 can AS (SELECT *, host || path || CASE WHEN array_to_string(q, '&') = '' THEN '' ELSE '?' || array_to_string(q, '&') END AS canonical FROM parts),
 met AS (
-  SELECT r.*, (SELECT max({'t': s."at", 'id': s.record_id}) FROM can s WHERE NOT s.revisit AND s.canonical = r.canonical AND s."at" < r."at") AS hit
+  SELECT r.*, (SELECT max({'t': s."at", 'id': s.record_id}) FROM can s WHERE NOT s.revisit AND s.status = 200 AND s.record_id IS NOT NULL AND s.canonical = r.canonical AND s."at" < r."at") AS hit
   FROM can r WHERE r.revisit),
 judged AS (
   SELECT m.*, s.record_id AS sid, s.payload AS spayload, s.etag AS setag, s.modified AS smodified,

@@ -121,7 +121,9 @@ def _needs(spark: SparkSession, held: DataFrame, folder: str, window: int, shard
 
     firsts = stage(held.groupBy("anchor", "key").agg(F.min("id").alias("first")), f"{folder}/firsts")
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
-    asked = stage(held.select("anchor", "key", "id").join(firsts, ["anchor", "key"]).where("first < id").select(shard, "anchor", "key").distinct(), f"{folder}/wholly")
+    # Of each shard the greatest id says whether it asks, so a passage of a third of all documents is a row for each shard.
+    last = stage(held.groupBy(shard, "anchor", "key").agg(F.max("id").alias("last")), f"{folder}/last")
+    asked = stage(last.join(firsts, ["anchor", "key"]).where("first < last").select("shard", "anchor", "key"), f"{folder}/wholly")
     texts = stage(held.join(firsts, ["anchor", "key"]).where("id = first").select("anchor", "key", "first", "at", "text"), f"{folder}/texts", compression="zstd")
     drop(spark, f"{folder}/passages")
     several = stage(firsts.groupBy("anchor").count().where("count > 1").select("anchor"), f"{folder}/several")
@@ -129,9 +131,11 @@ def _needs(spark: SparkSession, held: DataFrame, folder: str, window: int, shard
     windows = stage(texts.join(several, ["anchor", "key"], "left_semi").select("anchor", "key", "first", "text").mapInArrow(run, "anchor long, window long, key long, first long"), f"{folder}/windows")
     owner = windows.groupBy("anchor", "window").agg(F.min(F.struct("first", "key")).alias("o"), F.max("first").alias("last")).where("o.first < last").drop("last")
     owner = stage(owner, f"{folder}/owner")
-    partly = windows.join(owner, ["anchor", "window"]).where("o.first < first").select(F.col("first").alias("id"), "anchor", F.col("o.key").alias("key")).select(shard, "anchor", "key")
+    later = windows.withColumnRenamed("first", "id").groupBy(shard, "anchor", "window").agg(F.max("id").alias("later"))
+    later = stage(later.join(owner.select("anchor", "window"), ["anchor", "window"], "left_semi"), f"{folder}/later")
+    partly = later.join(owner, ["anchor", "window"]).where("o.first < later").select("shard", "anchor", F.col("o.key").alias("key"))
     asked = stage(partly.distinct().unionByName(asked).distinct(), f"{folder}/asked")
-    drop(spark, f"{folder}/windows", f"{folder}/owner", f"{folder}/wholly", f"{folder}/firsts")
+    drop(spark, f"{folder}/windows", f"{folder}/owner", f"{folder}/wholly", f"{folder}/firsts", f"{folder}/last", f"{folder}/later")
     return asked.join(texts, ["anchor", "key"]).select("shard", F.lit(0).alias("kind"), F.col("first").alias("id"), "text", "at")
 
 
@@ -218,7 +222,8 @@ def deduplicate(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep_
     windows are judged on the input. Words are runs of anything but ASCII white space. Null and
     empty texts have no words. Rows without an id are kept whole and make nothing else repeated;
     rows that repeat an id don't remove each other's words and give a row each. Other columns are
-    ignored; an empty table gives an empty one.
+    ignored, whatever their names; ids are cast to long, so text ids must be numbers; an empty table
+    gives an empty one.
     """
     spark = df.sparkSession
     bounded(spark)
@@ -281,3 +286,17 @@ def deduplicate(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep_
             yield made if keep_text else made.select(made.schema.names[:4])
 
     return dealt.mapInArrow(locate, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + f", `{text_col}` string" * keep_text)
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i+49], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, CAST(len(w) - 48 AS BIGINT))) AS i FROM d WHERE len(w) >= 50)),
+start AS (SELECT g, min(doc_id) AS earliest FROM win WHERE doc_id IS NOT NULL GROUP BY g),
+hit AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM win JOIN start USING (g) WHERE earliest < doc_id),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS text
+  FROM (SELECT r, unnest(w) AS x, unnest(range(1, CAST(len(w) + 1 AS BIGINT))) AS p FROM d) ANTI JOIN hit USING (r, p) GROUP BY r),
+gone AS (SELECT r, count(*) AS n FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
