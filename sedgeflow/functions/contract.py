@@ -88,7 +88,7 @@ def valid_envelope(source: str, corrupt: str | None = "_corrupt_record", apps: t
 
 
 def known_fields(event_json: Column) -> Column:
-    """False if the event's raw JSON has a field that the contract doesn't name."""
+    """False if it is no object, or the event's raw JSON has a field that the contract doesn't name."""
     extra = F.array_except(F.json_object_keys(event_json), F.array(*map(F.lit, FIELDS)))
     return F.coalesce(F.size(extra) == 0, F.lit(False))
 
@@ -108,6 +108,24 @@ def sequence_version(seq: Column) -> Column:
     return F.lit((1 << 63) - 1) - seq
 
 
+def allowed_values(paths: list[str] | None = None, characters: list[str] | None = None) -> Column:
+    """False where a path or character isn't in its list; absent fields pass, a list of None allows all."""
+    ok = F.lit(True)
+    for column, allowed in (("path", paths), ("character_id", characters)):
+        if allowed is not None:
+            ok &= F.col(column).isNull() | F.coalesce(F.col(column).isin(*allowed), F.lit(False))
+    return ok
+
+
+def retained(accepted: Column, readable_from: Column, not_after: Column, now: Column, days: int = 7) -> Column:
+    """Whether a real event may be read: now is before not_after, which is at most `days` after
+    readable_from, and the event was accepted since readable_from, not in the future, and less than
+    `days` ago."""
+    span = F.expr(f"INTERVAL {days} DAYS")
+    window = (now < not_after) & (not_after <= readable_from + span)
+    return F.coalesce(window & (accepted >= readable_from) & (accepted <= now) & (accepted + span > now), F.lit(False))
+
+
 def accepted_now(occurred: Column, now: Column, days: int = 7, minutes: int = 5) -> Column:
     """The collector's window around its clock."""
     return F.coalesce(occurred.between(now - F.expr(f"INTERVAL {days} DAYS"), now + F.expr(f"INTERVAL {minutes} MINUTES")), F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgeflow.operators.joins import BROADCAST_BYTES, estimated_bytes
+
 FACT = ("fact_ordinal", "source", "app", "kind", "key", "at")
 OUT = ("fact_ordinal", "source", "app", "kind", "release_id", "dimension_id", "dimension_status")
 
@@ -17,13 +19,15 @@ def facts_of(events: DataFrame) -> DataFrame:
 
 
 def _resolve(facts: DataFrame, ranges: DataFrame, dims: DataFrame, inside) -> DataFrame:
-    """Joins facts to the releases that cover them, then to the release's dimensions. Facts that no
-    release covers, or several, are unknown. facts are aggregated to one row each before the join
-    with dimensions, whose keys (a release and a key) don't repeat."""
-    r = ranges.select(F.col("source").alias("_s"), F.col("app").alias("_a"), F.col("release_id").alias("_r"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    met = facts.join(r, (F.col("source") == F.col("_s")) & (F.col("app") == F.col("_a")) & inside, "left")
-    one = met.groupBy(*facts.columns).agg(F.min("_r").alias("first"), F.max("_r").alias("last"))
-    one = one.withColumn("release_id", F.when(F.col("first") == F.col("last"), F.col("first"))).drop("first", "last")
+    """Facts with the one release that covers them, then with its dimension. Facts that no release
+    covers, or several, are unknown.
+
+    Each source and app has one array of its releases' ranges, which is broadcast if its size allows
+    and in which a fact's own are looked up: no fact is shuffled, repeated or merged for it."""
+    r = ranges.groupBy(F.col("source").alias("_s"), F.col("app").alias("_a")).agg(F.collect_set(F.struct(F.col("release_id").alias("id"), "lo", "hi")).alias("all"))
+    met = facts.join(F.broadcast(r) if estimated_bytes(r) <= BROADCAST_BYTES else r, (F.col("source") == F.col("_s")) & (F.col("app") == F.col("_a")), "left")
+    ids = F.array_distinct(F.transform(F.filter("all", inside), lambda x: x["id"]))
+    one = met.withColumn("_ids", ids).select(*facts.columns, F.when(F.size("_ids") == 1, F.element_at("_ids", 1)).alias("release_id"))
     known = one.join(dims.select("source", "app", "release_id", "kind", "key", "dimension_id", "present"), ["source", "app", "release_id", "kind", "key"], "left")
     status = F.when(F.col("release_id").isNull(), "unknown").when(F.col("present"), "present").otherwise("not_present")
     return known.select("fact_ordinal", "source", "app", "kind", "release_id", F.when(F.col("present"), F.col("dimension_id")).alias("dimension_id"), status.alias("dimension_status"))
@@ -32,13 +36,13 @@ def _resolve(facts: DataFrame, ranges: DataFrame, dims: DataFrame, inside) -> Da
 def at_event(facts: DataFrame, coverage: DataFrame, dims: DataFrame) -> DataFrame:
     """OUT for each fact by the release whose coverage (covered_from <= at < covered_to) holds it."""
     ranges = coverage.withColumnsRenamed({"covered_from": "lo", "covered_to": "hi"})
-    return _resolve(facts, ranges, dims, (F.col("at") >= F.col("_lo")) & (F.col("at") < F.col("_hi")))
+    return _resolve(facts, ranges, dims, lambda x: (F.col("at") >= x["lo"]) & (F.col("at") < x["hi"]))
 
 
 def current(facts: DataFrame, observations: DataFrame, dims: DataFrame, as_of) -> DataFrame:
     """OUT for each fact by the release that was observed at as_of (observed_at <= t <= checked_through)."""
     ranges = observations.withColumnsRenamed({"observed_at": "lo", "checked_through": "hi"})
-    return _resolve(facts, ranges, dims, (F.lit(as_of) >= F.col("_lo")) & (F.lit(as_of) <= F.col("_hi")))
+    return _resolve(facts, ranges, dims, lambda x: (F.lit(as_of) >= x["lo"]) & (F.lit(as_of) <= x["hi"]))
 
 
 def coverage_faults(coverage: DataFrame, releases: DataFrame) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sedgeflow.functions.time import aware
-from sedgeflow.operators.joins import same_rows
 from sedgeflow.operators.metrics import duplicate_grains, gate
-from sedgeflow.sources.shared import exists, read_text, write_text
+from sedgeflow.sources.shared import exists, move, read_text, remove, write_text
 
 FIELDS = ("source", "app", "business_date", "pv", "uv", "requests", "successes")
 MOST_DAYS = 366
@@ -56,24 +56,36 @@ class Publication:
         return json.loads(read_text(self.spark, at)) if exists(self.spark, at) else {}
 
     def publish(self, rows: DataFrame, start: date, end: date, cutoff: datetime, counts: dict[str, int] | None = None) -> dict:
-        """Rejects a cutoff older than a day's, and the same cutoff with other content. Rows are read
-        back before the one pointer write that publishes all days."""
-        validate(rows, start, end, counts)
-        if not rows.where(F.col("source") != self.source).isEmpty():
-            raise ValueError("rows of another source")
+        """Rejects a cutoff older than a day's, and the same cutoff with other content.
+
+        The rows are computed once, into a staged folder; while that is written their number and a sum
+        of their hashes are observed, and what is read back must have the same. Everything else is
+        asked of the copy, which then gets its content's name, before the one pointer write that
+        publishes all days."""
+        if set(rows.columns) != set(FIELDS):
+            raise ValueError("the rows have other fields")
         version = int(aware(cutoff).timestamp() * 1_000_000)
-        days = {str(r["business_date"]): r["hash"] for r in day_hashes(rows, start, end).collect()}  # at most 366 rows
-        known = self.pointers()
-        for day, digest in days.items():
-            old = known.get(day)
-            if old and (old["version"] > version or (old["version"] == version and old["hash"] != digest)):
-                raise ValueError(f"{day}: an older cutoff, or other content at the same one")
+        seen, staged = Observation(), f"{self.path}/{self.source}/staged-{uuid.uuid4().hex}"
+        mark = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*FIELDS).cast("decimal(38,0)")).alias("mark"))
+        rows.select(*FIELDS).observe(seen, *mark).coalesce(1).write.parquet(staged)  # a row for each app and day of 366 days
+        copy = self.spark.read.parquet(staged)
+        try:
+            if copy.agg(*mark).first().asDict() != seen.get:
+                raise ValueError("what was written differs")
+            validate(copy, start, end, counts)
+            if not copy.where(F.col("source") != self.source).isEmpty():
+                raise ValueError("rows of another source")
+            days = {str(r["business_date"]): r["hash"] for r in day_hashes(copy, start, end).collect()}  # at most 366 rows
+            known = self.pointers()
+            for day, digest in days.items():
+                old = known.get(day)
+                if old and (old["version"] > version or (old["version"] == version and old["hash"] != digest)):
+                    raise ValueError(f"{day}: an older cutoff, or other content at the same one")
+        except ValueError:
+            remove(self.spark, staged)
+            raise
         snapshot = hashlib.sha256(json.dumps([version, sorted(days.items())]).encode()).hexdigest()
-        folder = f"{self.path}/{self.source}/{snapshot}"
-        if not exists(self.spark, f"{folder}/_SUCCESS"):
-            rows.select(*FIELDS).coalesce(1).write.mode("overwrite").parquet(folder)
-        if not same_rows(self.spark.read.parquet(folder), rows.select(*FIELDS)):
-            raise ValueError("what was written differs")
+        move(self.spark, staged, f"{self.path}/{self.source}/{snapshot}")
         known.update({day: {"snapshot": snapshot, "version": version, "hash": digest} for day, digest in days.items()})
         write_text(self.spark, f"{self.path}/{self.source}/pointer.json", json.dumps(known, sort_keys=True))
         return {"snapshot_id": snapshot, "version": version}

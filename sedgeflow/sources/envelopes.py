@@ -10,17 +10,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedgeflow.functions.contract import APPS, CHANGE, ENVELOPE
+from sedgeflow.functions.contract import APPS, CHANGE, ENVELOPE, EVENT
 from sedgeflow.functions.time import aware
 from sedgeflow.sources.shared import exists, read_text, write_text
 
 CORRUPT = "_corrupt_record"
+#: An envelope whose event is still text.
+RAW = T.StructType([*[f for f in ENVELOPE if f.name != "event"], T.StructField("event", T.StringType()), T.StructField(CORRUPT, T.StringType())])
 
 
 def read_events(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Envelopes with an explicit schema; lines that aren't are kept in _corrupt_record."""
-    schema = T.StructType([*ENVELOPE, T.StructField(CORRUPT, T.StringType())])
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(paths)
+    """Envelopes with an explicit schema: seq, source, accepted_at, event, event_json (its own text, in
+    which the contract looks for unknown fields) and _corrupt_record (lines that aren't envelopes,
+    and events with values of other types)."""
+    held = spark.read.schema(RAW).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(paths)
+    return parsed(held.withColumnRenamed("event", "event_json"))
+
+
+def parsed(held: DataFrame) -> DataFrame:
+    """event from event_json."""
+    inner = T.StructType([*EVENT, T.StructField(CORRUPT, T.StringType())])
+    held = held.withColumn("event", F.from_json("event_json", inner, {"columnNameOfCorruptRecord": CORRUPT}))
+    corrupt = F.coalesce(CORRUPT, f"event.{CORRUPT}") if CORRUPT in held.columns else F.col(f"event.{CORRUPT}")
+    return held.withColumn(CORRUPT, corrupt).withColumn("event", F.col("event").dropFields(CORRUPT)).select("seq", "source", "accepted_at", "event", "event_json", CORRUPT)
 
 
 def read_changes(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -28,8 +40,24 @@ def read_changes(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def stream_events(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
-    """New files of a folder; a Kafka source has the same schema after from_json."""
-    return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files).json(folder)
+    """New files of a folder, as read_events() reads them; a Kafka topic is kafka_events()."""
+    held = spark.readStream.schema(RAW).option("columnNameOfCorruptRecord", CORRUPT).option("maxFilesPerTrigger", files).json(folder)
+    return parsed(held.withColumnRenamed("event", "event_json"))
+
+
+def kafka_events(spark: SparkSession, servers: str, topic: str, start: int | None = None, partition: int = 0, records: int = 100_000) -> DataFrame:
+    """The same from one ordered partition of a topic: from a fixed offset, which must still be there, or
+    from the earliest. Needs Spark's Kafka connector, which isn't bundled with Spark."""
+    first = "earliest" if start is None else json.dumps({topic: {str(partition): start}})
+    options = {"kafka.bootstrap.servers": servers, "assign": json.dumps({topic: [partition]}), "startingOffsets": first, "failOnDataLoss": "true", "maxOffsetsPerTrigger": str(records)}
+    rows = spark.readStream.format("kafka").options(**options).load()
+    held = rows.select(F.from_json(F.col("value").cast("string"), RAW, {"columnNameOfCorruptRecord": CORRUPT}).alias("r")).select("r.*")
+    return parsed(held.withColumnRenamed("event", "event_json"))
+
+
+def to_kafka(rows: DataFrame, servers: str, topic: str, key: str = "event_id") -> None:
+    """A batch of rows (in foreachBatch) to a topic as JSON, keyed; needs the same connector."""
+    rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
 def raw_change(row: Column) -> Column:
@@ -162,13 +190,39 @@ def register(spark: SparkSession, table: str, path: str, expected: int) -> int:
     return n
 
 
-def log_events(records: DataFrame, app: str = APPS[1]) -> DataFrame:
-    """Completion log lines (request_id, character_id, success, elapsed_ms, at) as events. The id
-    is a name-based UUID: SHA-1 of a namespace and the request, with version and variant set."""
-    name = F.sha1(F.concat(F.lit("request-complete:"), F.col("request_id")))
-    variant = F.substring(F.lit("89ab"), F.conv(F.substring(name, 17, 1), 16, 10).cast("int") % 4 + 1, 1)
-    uuid = F.concat_ws("-", F.substring(name, 1, 8), F.substring(name, 9, 4), F.concat(F.lit("5"), F.substring(name, 14, 3)), F.concat(variant, F.substring(name, 18, 3)), F.substring(name, 21, 12))
+def verify(spark: SparkSession, table: str, path: str, columns: dict[str, str], partitions: tuple[str, ...]) -> None:
+    """Raises unless the catalog's table is an external one over this path with these columns."""
+    said = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    if said.get("Type") != "EXTERNAL" or not said.get("Location", "").rstrip("/").endswith(path.split(":")[-1].rstrip("/").lstrip("/")):
+        raise ValueError(f"{table} is another table: {said.get('Type')}, {said.get('Location')}")
+    found = {c.name: c for c in spark.catalog.listColumns(table)}
+    if {n: c.dataType for n, c in found.items()} != columns or {n for n, c in found.items() if c.isPartition} != set(partitions):
+        raise ValueError(f"{table} has other columns or partitions")
+
+
+def unregister(spark: SparkSession, table: str) -> None:
+    """Takes an external table out of the catalog; its files stay."""
+    if spark.catalog.tableExists(table):
+        if "EXTERNAL" not in {r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}:
+            raise ValueError(f"{table} owns its files")
+        spark.sql(f"DROP TABLE {table}")
+
+
+#: Fixed value: the namespace of name-based UUIDs of URLs (RFC 9562, section 6.6).
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """The name-based UUID of version 5: SHA-1 of the namespace's bytes and the name's."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, 1)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def log_events(records: DataFrame, app: str = APPS[1], prefix: str = "request/") -> DataFrame:
+    """Completion log lines (request_id, character_id, success, elapsed_ms, at) as events, whose ids are
+    the name-based UUIDs of prefix and request."""
     return records.where("request_id IS NOT NULL AND success IS NOT NULL").select(
-        F.lit(1).cast("long").alias("schema_version"), uuid.alias("event_id"), F.lit(app).alias("app"), F.lit("request_complete").alias("event_type"),
-        F.col("at").alias("occurred_at"), "request_id", "character_id", "success", "elapsed_ms",
+        F.lit(1).cast("long").alias("schema_version"), uuid5(F.concat(F.lit(prefix), F.col("request_id"))).alias("event_id"), F.lit(app).alias("app"),
+        F.lit("request_complete").alias("event_type"), F.col("at").alias("occurred_at"), "request_id", "character_id", "success", "elapsed_ms",
     )

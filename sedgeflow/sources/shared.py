@@ -41,20 +41,49 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
-    """The whole text or nothing: written beside and renamed. Without replace, fails if it exists."""
+    """The whole text or nothing: written beside and renamed over what is there, in one step, so that a
+    reader finds the old text or the new one. Without replace the rename itself fails if another
+    writer was first."""
     fs, at = _fs(spark, path)
-    if not replace and fs.exists(at):
-        raise FileExistsError(path)
+    jvm = spark.sparkContext._jvm
     _, part = _fs(spark, f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.hsync()
     out.close()
-    if replace and fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(part, at):
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE if replace else rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(part), fs.makeQualified(at), how)
+    except Exception as e:
         fs.delete(part, False)
-        raise FileExistsError(path)
+        if replace:
+            raise
+        raise FileExistsError(path) from e
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder; False if the target was there already (then the source is removed)."""
+    fs, at = _fs(spark, source)
+    _, to = _fs(spark, target)
+    if fs.exists(to) or not fs.rename(at, to):
+        fs.delete(at, True)
+        return False
+    return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, without hidden and unfinished ones; none if there is no folder."""
+    fs, at = _fs(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in names if not n.startswith((".", "_")) and not n.endswith(".part"))
 
 
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:

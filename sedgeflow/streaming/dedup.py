@@ -7,15 +7,19 @@ processing time and compare with the watermark themselves.
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from sedgeflow.functions.contract import APPS, FIELDS, business_key, fingerprint, valid_envelope
+from sedgeflow.functions.contract import APPS, FIELDS, business_key, fingerprint, known_fields, valid_envelope
 from sedgeflow.functions.time import instant
 
 WATERMARK = "30 seconds"
@@ -88,8 +92,11 @@ class Requests(_Keyed):
 
 def prepared(raw: DataFrame, source: str, apps: tuple[str, str] = APPS) -> DataFrame:
     """ROW of a stream of envelopes; class is quarantine where the contract is broken."""
-    flat = raw.select("seq", "source", "accepted_at", "event.*").withColumn("event_time", instant(F.col("occurred_at")))
-    ok = valid_envelope(source, None, apps)
+    more = [c for c in ("_corrupt_record", "event_json") if c in raw.columns]
+    flat = raw.select("seq", "source", "accepted_at", *more, "event.*").withColumn("event_time", instant(F.col("occurred_at")))
+    ok = valid_envelope(source, "_corrupt_record" if "_corrupt_record" in more else None, apps)
+    if "event_json" in more:
+        ok = F.coalesce(ok & known_fields(F.col("event_json")), F.lit(False))
     rows = flat.select(
         "seq",
         "source",
@@ -133,6 +140,34 @@ def run(raw: DataFrame, source: str, path: str, interval: str | None = None):
     return (made.trigger(processingTime=interval) if interval else made.trigger(once=True)).start()
 
 
+def supervised(start, attempts: int = 10, delay: float = 5.0, sleep=time.sleep) -> int:
+    """Starts a stream (start() gives its query) and starts it again from its checkpoint after a
+    failure, at most `attempts` times with a fixed delay. Returns how often it was started again."""
+    for n in range(attempts + 1):
+        try:
+            start().awaitTermination()
+            return n
+        except StreamingQueryException:
+            if n == attempts:
+                raise
+            sleep(delay)
+    return attempts
+
+
+def check_start(source: str, partitions: int, lane: str, epoch: str | None = None, since: datetime | None = None, until: datetime | None = None, days: int = 7) -> None:
+    """Raises unless a stream may start: its input is one ordered partition; a real one has an epoch
+    with a safe name, whose lane is that name, and which is `days` long."""
+    if source not in STATE_DAYS:
+        raise ValueError(f"{source} is none of {sorted(STATE_DAYS)}")
+    if partitions != 1:
+        raise ValueError("the input must be one ordered partition")
+    if source == "real":
+        if not epoch or not re.fullmatch(r"[a-z][a-z0-9-]{2,23}", epoch) or lane != epoch.replace("-", "_"):
+            raise ValueError("the lane isn't the epoch's")
+        if not since or not until or until - since != timedelta(days=days):
+            raise ValueError(f"an epoch has {days} days")
+
+
 def sessions(rows: DataFrame, gap_minutes: int = 30) -> DataFrame:
     """Streaming sessions with the batch rule's boundary: a gap of exactly gap_minutes splits, so the
     window's gap is a microsecond shorter."""
