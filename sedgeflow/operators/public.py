@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedgeflow.functions.contract import APPS
 from sedgeflow.functions.time import HK, aware, business_date
 
 THRESHOLD = 10
@@ -62,6 +63,34 @@ def projection(facts: DataFrame, now: datetime, start_day=None, k: int = THRESHO
     return made.select("app", "date", "cutoff_at", *states, *shown)
 
 
+def calendar(facts: DataFrame, now: datetime, start_day: date, apps: tuple[str, ...] = APPS, k: int = THRESHOLD, frozen: DataFrame | None = None) -> DataFrame:
+    """A row for each app and day from start_day, or 89 days ago if that is later, to today in Hong Kong:
+    app, date, cutoff_at, access, quality, popularity, pv, uv, requests, successes, success_rate,
+    popular (kind, name and n of every category, by kind and name).
+
+    Days without rows are empty, days whose cutoff hasn't come are pending. frozen has what earlier
+    calls gave: its days that weren't pending stay as they are."""
+    spark = facts.sparkSession
+    today = aware(now).astimezone(HK).date()
+    first = max(start_day, today - timedelta(days=DAYS_KEPT - 1))
+    days = spark.createDataFrame([(app, first + timedelta(days=n)) for n in range((today - first).days + 1) for app in apps], "app string, date date")  # at most 90 days
+    made = projection(facts, now, first, k).drop("cutoff_at", "categories")
+    rows = facts.where(F.col("source") == "real").withColumn("date", business_date(F.col("event_time"))).where(F.col("accepted") < cutoff_of(F.col("date")))
+    kind = F.when(F.col("event_type") == "page_view", "page").when(F.col("event_type") == "character_select", "character")
+    name = F.when(F.col("event_type") == "page_view", F.col("path")).otherwise(F.col("character_id"))
+    each = rows.withColumns({"kind": kind, "name": name}).where("kind IS NOT NULL AND name IS NOT NULL").groupBy("app", "date", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    popular = each.groupBy("app", "date").agg(F.sort_array(F.collect_list(F.struct("kind", "name", "n"))).alias("popular"))
+    both = days.join(made, ["app", "date"], "left").join(popular, ["app", "date"], "left").withColumn("cutoff_at", cutoff_of(F.col("date")))
+    absent = F.when(F.col("cutoff_at") > F.lit(slot(now)), "pending").otherwise("empty")
+    states = [F.coalesce(s, absent).alias(s) for s in ("access", "quality", "popularity")]
+    shown = [F.when(F.col("popularity") == "published", F.col("popular")).alias("popular")]
+    out = both.select("app", "date", "cutoff_at", *states, "pv", "uv", "requests", "successes", F.try_divide("successes", "requests").alias("success_rate"), *shown)
+    if frozen is None:
+        return out
+    kept = frozen.where("access <> 'pending'").join(days, ["app", "date"], "left_semi")
+    return kept.unionByName(out.join(kept.select("app", "date"), ["app", "date"], "left_anti"))
+
+
 def freeze(frozen: DataFrame, made: DataFrame, keys: tuple[str, ...] = ("app", "date")) -> DataFrame:
     """What was frozen stays as it is; days that are new and not pending join it."""
     new = made.where("access <> 'pending'").join(frozen.select(*keys), list(keys), "left_anti")
