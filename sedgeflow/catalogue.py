@@ -17,6 +17,8 @@ from sedgeflow.sources import lake
 
 CUTOFF = datetime(2024, 1, 28, 15, 59, 59, tzinfo=timezone.utc)
 UTC = timezone.utc
+#: Users of the tables act every eleven hours or so: a journey from click to completion may take five days.
+JOURNEY_MINUTES = 7200
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +30,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as facts. Views are page views of the path /k, clicks entry clicks, signups arrivals,
-    errors observed requests, purchases completed ones that succeed from a value of 20. Ids of
-    jumps and requests repeat within a user's day and half day."""
+    errors observed requests, every third of them a selected character, purchases completed requests
+    that succeed from a value of 5. Ids of jumps and requests repeat within three days of a user."""
     e = read(spark, sf_dir, "events")
     at = F.col("ts").cast("timestamp")
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "page_view", "click", "entry_click", "signup", "entry_arrival", "error", "request_observed", "purchase", "request_complete")]), F.col("event_type"))
-    second = F.unix_seconds(at)
+    kind = F.when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), "character_select").otherwise(kind)
+    days = F.floor(F.unix_seconds(at) / 259200).cast("string")
     user = F.col("user_id").cast("string")
     return e.select(
         (F.col("event_id") + 1).alias("seq"),
@@ -46,24 +49,24 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         user.alias("anonymous_id"),
         F.when(F.col("event_type") == "view", F.concat(F.lit("/"), F.regexp_extract("props", r":\s*(\d+)", 1))).alias("path"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string"))).alias("character_id"),
-        F.concat(user, F.lit("-"), F.floor(second / 86400).cast("string")).alias("jump_id"),
+        F.concat(user, F.lit("-"), days).alias("jump_id"),
         F.concat(F.lit("ch"), (F.col("user_id") % 3).cast("string")).alias("channel"),
-        F.concat(user, F.lit("-"), F.floor(second / 43200).cast("string")).alias("request_id"),
-        (F.col("value") >= 20).alias("success"),
+        F.concat(user, F.lit("-"), days).alias("request_id"),
+        (F.col("value") >= 5).alias("success"),
         "value",
     )
 
 
 FACTS = """f AS (SELECT event_id + 1 AS seq, CASE WHEN event_id % 4 = 0 THEN 'synthetic' ELSE 'real' END AS source,
   CASE WHEN event_type IN ('view', 'click') THEN 'site' ELSE 'game' END AS app, lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id,
-  CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'entry_click' WHEN 'signup' THEN 'entry_arrival' WHEN 'error' THEN 'request_observed' WHEN 'purchase' THEN 'request_complete' END AS event_type,
+  CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'entry_click' WHEN 'signup' THEN 'entry_arrival' WHEN 'error' THEN (CASE WHEN event_id % 3 = 0 THEN 'character_select' ELSE 'request_observed' END) WHEN 'purchase' THEN 'request_complete' END AS event_type,
   ts AS event_time, ts + INTERVAL 1 SECOND AS accepted, CAST(user_id AS VARCHAR) AS anonymous_id,
   CASE WHEN event_type = 'view' THEN '/' || regexp_extract(props, ':\\s*(\\d+)', 1) END AS path,
   CASE WHEN event_type = 'error' THEN 'c' || CAST(event_id % 7 AS VARCHAR) END AS character_id,
-  CAST(user_id AS VARCHAR) || '-' || CAST(CAST(floor(epoch(ts) / 86400) AS BIGINT) AS VARCHAR) AS jump_id,
+  CAST(user_id AS VARCHAR) || '-' || CAST(CAST(floor(epoch(ts) / 259200) AS BIGINT) AS VARCHAR) AS jump_id,
   'ch' || CAST(user_id % 3 AS VARCHAR) AS channel,
-  CAST(user_id AS VARCHAR) || '-' || CAST(CAST(floor(epoch(ts) / 43200) AS BIGINT) AS VARCHAR) AS request_id,
-  value >= 20 AS success, value, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day FROM events)"""
+  CAST(user_id AS VARCHAR) || '-' || CAST(CAST(floor(epoch(ts) / 259200) AS BIGINT) AS VARCHAR) AS request_id,
+  value >= 5 AS success, value, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day FROM events)"""
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,11 +146,11 @@ def _replayed(spark, sf_dir):
     """facts, and a later delivery of every fifth one, every tenth of those with another value."""
     f = facts(spark, sf_dir)
     late = f.where(F.col("seq") % 5 == 0)
-    again = late.withColumns({"seq": F.col("seq") + 10_000_000, "accepted": F.col("accepted") + F.expr("INTERVAL 1 HOUR"), "value": F.when(F.col("seq") % 10 == 0, -F.col("value") - 1).otherwise(F.col("value"))})
+    again = late.withColumns({"seq": F.col("seq") + 10_000_000, "accepted": F.col("accepted") + F.expr("INTERVAL 1 HOUR"), "value": F.when(F.col("seq") % 10 == 0, -F.col("value") - 1).otherwise(F.col("value")), "channel": F.when(F.col("seq") % 10 == 0, "other").otherwise(F.col("channel"))})
     return f.unionByName(again)
 
 
-REPLAYED = f"""{FACTS}, v AS (SELECT * FROM f UNION ALL SELECT * REPLACE (seq + 10000000 AS seq, accepted + INTERVAL 1 HOUR AS accepted, CASE WHEN seq % 10 = 0 THEN -value - 1 ELSE value END AS value) FROM f WHERE seq % 5 = 0)"""
+REPLAYED = f"""{FACTS}, v AS (SELECT * FROM f UNION ALL SELECT * REPLACE (seq + 10000000 AS seq, accepted + INTERVAL 1 HOUR AS accepted, CASE WHEN seq % 10 = 0 THEN -value - 1 ELSE value END AS value, CASE WHEN seq % 10 = 0 THEN 'other' ELSE channel END AS channel) FROM f WHERE seq % 5 = 0)"""
 
 
 @query(f"""WITH {REPLAYED}, a AS (SELECT *, row_number() OVER (PARTITION BY source, app, event_id ORDER BY accepted, seq) AS n FROM v),
@@ -231,7 +234,7 @@ def retention_covered(spark, sf_dir):
     return out.withColumn("cohort_date", F.col("cohort_date").cast("string"))
 
 
-ATTRIBUTION = f"""WITH {FACTS}, clicks AS (SELECT source, jump_id, channel, event_time AS click_time, event_time + INTERVAL 24 HOUR AS until, day FROM (SELECT *, row_number() OVER (PARTITION BY source, jump_id ORDER BY event_time, event_id) AS n FROM f WHERE event_type = 'entry_click') WHERE n = 1),
+ATTRIBUTION = f"""WITH {FACTS}, clicks AS (SELECT source, jump_id, channel, event_time AS click_time, event_time + INTERVAL 120 HOUR AS until, day FROM (SELECT *, row_number() OVER (PARTITION BY source, jump_id ORDER BY event_time, event_id) AS n FROM f WHERE event_type = 'entry_click') WHERE n = 1),
   arrivals AS (SELECT * FROM (SELECT f.source, f.jump_id, f.anonymous_id, c.channel, click_time, until, f.event_time AS arrival_time, row_number() OVER (PARTITION BY f.source, f.jump_id ORDER BY f.event_time, f.event_id) AS n FROM f JOIN clicks c ON f.source = c.source AND f.jump_id = c.jump_id AND f.event_time BETWEEN click_time AND until WHERE f.event_type = 'entry_arrival') WHERE n = 1),
   observed AS (SELECT source, request_id, anonymous_id, event_time AS observed_time FROM (SELECT *, row_number() OVER (PARTITION BY source, request_id ORDER BY event_time, event_id) AS n FROM f WHERE event_type = 'request_observed') WHERE n = 1),
   requested AS (SELECT a.*, request_id, observed_time FROM arrivals a JOIN observed o ON a.source = o.source AND a.anonymous_id = o.anonymous_id AND observed_time BETWEEN arrival_time AND until),
@@ -244,7 +247,7 @@ ATTRIBUTION = f"""WITH {FACTS}, clicks AS (SELECT source, jump_id, channel, even
 
 @query(ATTRIBUTION + "SELECT source, jump_id, request_id, channel, CAST(CAST(click_time + INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS date FROM conv")
 def attribution_conversions(spark, sf_dir):
-    parts = attribution.steps(_funnel_facts(spark, sf_dir), 1440)
+    parts = attribution.steps(facts(spark, sf_dir), JOURNEY_MINUTES)
     return attribution.conversions(parts).withColumn("date", F.col("date").cast("string"))
 
 
@@ -252,14 +255,10 @@ def attribution_conversions(spark, sf_dir):
   count(*) FILTER (EXISTS (SELECT 1 FROM requested r WHERE r.source = c.source AND r.jump_id = c.jump_id)) AS requested, count(*) FILTER (EXISTS (SELECT 1 FROM conv v WHERE v.source = c.source AND v.jump_id = c.jump_id)) AS converted
   FROM clicks c LEFT JOIN arrivals a ON a.source = c.source AND a.jump_id = c.jump_id GROUP BY c.source, c.channel, c.day""")
 def attribution_funnel(spark, sf_dir):
-    parts = attribution.steps(_funnel_facts(spark, sf_dir), 1440)
+    parts = attribution.steps(facts(spark, sf_dir), JOURNEY_MINUTES)
     return attribution.funnel(parts, attribution.conversions(parts)).withColumn("date", F.col("date").cast("string"))
 
 
-def _funnel_facts(spark, sf_dir):
-    return facts(spark, sf_dir)
-
-
 @query(f"""WITH {REPLAYED}, o AS (SELECT *, CASE WHEN event_type = 'request_complete' THEN 'request:' || request_id ELSE 'event:' || event_id END AS business_key FROM v),
   live AS (SELECT * FROM o WHERE accepted + INTERVAL 7 DAY > TIMESTAMP '2024-01-20 00:00:00'), r AS (SELECT *, row_number() OVER (PARTITION BY source, app, business_key ORDER BY accepted, seq) AS n FROM live)
   SELECT seq, source, app, business_key, epoch_us(accepted) AS accepted_us FROM r WHERE n = 1""")
@@ -274,7 +273,7 @@ def state_merge(spark, sf_dir):
 PUBLIC = f"""WITH {FACTS}, r AS (SELECT *, CAST(day AS TIMESTAMP) + INTERVAL 3 DAY + INTERVAL 15 MINUTE - INTERVAL 8 HOUR AS cutoff_at FROM f WHERE source = 'real'),
   k AS (SELECT * FROM r WHERE accepted < cutoff_at),
   b AS (SELECT app, day, cutoff_at, count(*) FILTER (event_type = 'page_view') AS pv, count(DISTINCT CASE WHEN event_type <> 'request_complete' THEN anonymous_id END) AS uv, count(*) FILTER (event_type = 'request_complete') AS requests, count(*) FILTER (event_type = 'request_complete' AND success) AS successes FROM k GROUP BY 1, 2, 3),
-  g AS (SELECT app, day, min(v) AS least, count(*) AS categories FROM (SELECT app, day, path, count(DISTINCT anonymous_id) AS v FROM k WHERE event_type = 'page_view' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  g AS (SELECT app, day, min(v) AS least, count(*) AS categories FROM (SELECT app, day, CASE WHEN event_type = 'page_view' THEN 'page:' || path ELSE 'character:' || character_id END AS c, count(DISTINCT anonymous_id) AS v FROM k WHERE event_type IN ('page_view', 'character_select') GROUP BY 1, 2, 3) GROUP BY 1, 2),
   s AS (SELECT b.*, least, categories, cutoff_at > TIMESTAMP '2024-01-27 16:15:00' AS pending FROM b LEFT JOIN g ON b.app = g.app AND b.day = g.day),
   p AS (SELECT *, CASE WHEN pending THEN 'pending' WHEN pv = 0 AND uv = 0 THEN 'empty' WHEN uv >= 10 THEN 'published' ELSE 'suppressed' END AS access,
     CASE WHEN pending THEN 'pending' WHEN requests = 0 THEN 'empty' WHEN requests >= 10 AND (successes = 0 OR successes >= 10) AND (requests - successes = 0 OR requests - successes >= 10) THEN 'published' ELSE 'suppressed' END AS quality,
@@ -465,11 +464,14 @@ def join_range(spark, sf_dir):
     return a.join(b, "user_id").where(F.col("b").between(F.col("a"), F.col("a") + F.expr("INTERVAL 30 MINUTES"))).select("click_id", "purchase_id")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS differing")
+@query("""SELECT 'as it is' AS other, CAST(0 AS BIGINT) AS differing UNION ALL SELECT 'first lines twice', count(*) FROM lineitem WHERE l_linenumber = 1
+  UNION ALL SELECT 'without returns', count(*) FROM lineitem WHERE l_returnflag = 'R'""")
 def multiset_equal(spark, sf_dir):
-    """lineitem against itself, dealt anew."""
-    a = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return joins.differing_rows(a, a.repartition("l_partkey")).agg(F.count(F.lit(1)).alias("differing"))
+    """lineitem against itself dealt anew, with rows twice, and without some."""
+    a = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    others = {"as it is": a.repartition("l_partkey"), "first lines twice": a.union(a.where("l_linenumber = 1")), "without returns": a.where("l_returnflag <> 'R'")}
+    found = [joins.differing_rows(a, b).agg(F.count(F.lit(1)).alias("differing")).select(F.lit(name).alias("other"), "differing") for name, b in others.items()]
+    return found[0].union(found[1]).union(found[2])
 
 
 @query("SELECT l_suppkey, count(*) AS surplus FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
@@ -494,9 +496,10 @@ def quantiles(spark, sf_dir):
     return metrics.quantiles(read(spark, sf_dir, "events"), "value")
 
 
-@query("""SELECT * FROM (SELECT lag(o_orderkey) OVER (ORDER BY o_orderkey) AS after, o_orderkey AS before FROM orders WHERE o_orderkey % 97 <> 5) WHERE before - after > 1""")
+@query("""SELECT * FROM (SELECT lag(k) OVER (ORDER BY k) AS after, k AS before FROM (SELECT DISTINCT user_id * 1000 + event_id % 997 AS k FROM events)) WHERE before - after > 1""")
 def sequence_gaps(spark, sf_dir):
-    return metrics.gaps(read(spark, sf_dir, "orders").where("o_orderkey % 97 <> 5"), "o_orderkey", 1000)
+    """Numbers of users' events, of which many are missing."""
+    return metrics.gaps(read(spark, sf_dir, "events").select((F.col("user_id") * 1000 + F.col("event_id") % 997).alias("k")), "k", 1000)
 
 
 @query("SELECT count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS total, CAST(sum(length(event_type)) AS BIGINT) AS chars FROM events")
@@ -504,9 +507,10 @@ def checksum(spark, sf_dir):
     return metrics.checksum(read(spark, sf_dir, "events"), "event_id", "event_type")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS rows FROM events")
+@query("SELECT CAST(user_id % 7 AS INTEGER) AS partition, count(*) AS rows FROM events GROUP BY 1")
 def partition_histogram(spark, sf_dir):
-    return metrics.partition_histogram(read(spark, sf_dir, "events")).agg(F.sum("rows").alias("rows"))
+    """events dealt over seven partitions by user."""
+    return metrics.partition_histogram(read(spark, sf_dir, "events").repartitionById(7, (F.col("user_id") % 7).cast("int")))
 
 
 @query("SELECT o_custkey, CAST(o_orderdate AS VARCHAR)[1:10] AS day, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
@@ -553,9 +557,14 @@ def lake_time_travel(spark, sf_dir):
     return _merged(spark, sf_dir).read(version=1)
 
 
-@query("SELECT * FROM (VALUES (1, 'append'), (2, 'merge'), (3, 'delete'), (4, 'compact')) AS t(version, operation)")
+@query("""WITH a AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0), m AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0),
+  d AS (SELECT count(*) AS n FROM orders WHERE (o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0) AND o_orderkey % 5 <> 0)
+  SELECT 1 AS version, 'append' AS operation, n AS rows FROM a UNION ALL SELECT 2, 'merge', n FROM m UNION ALL SELECT 3, 'delete', n FROM d UNION ALL SELECT 4, 'compact', n FROM d""")
 def lake_history(spark, sf_dir):
-    return _merged(spark, sf_dir).history().select("version", "operation")
+    """Every version with its operation and its rows."""
+    t = _merged(spark, sf_dir)
+    counts = [t.read(v).agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("rows")) for v in range(1, 5)]
+    return t.history().select("version", "operation").join(counts[0].union(counts[1]).union(counts[2]).union(counts[3]), "version")
 
 
 @query(f"""WITH {FACTS}, d AS (SELECT source, app, day, count(*) FILTER (event_type = 'page_view') AS pv, count(DISTINCT anonymous_id) AS uv, count(*) FILTER (event_type = 'request_complete') AS requests, count(*) FILTER (event_type = 'request_complete' AND success) AS successes FROM f WHERE source = 'real' AND day BETWEEN DATE '2023-12-30' AND DATE '2024-01-05' GROUP BY 1, 2, 3),
@@ -610,18 +619,23 @@ def lineage_run_states(spark, sf_dir):
     return lineage.run_states(o).select("run_id", "started", "ended")
 
 
-@query(f"""WITH {FACTS} SELECT CAST(0 AS BIGINT) AS faults""")
+@query(ATTRIBUTION + "SELECT CAST(0 AS BIGINT) AS faults, count(*) AS unreconciled FROM (SELECT DISTINCT source, channel, CAST(click_time + INTERVAL 8 HOUR AS DATE) FROM conv)")
 def model_invariants(spark, sf_dir):
-    """Retention rows that break maturity, and funnel rows whose conversions aren't the detail's."""
+    """Retention rows that break maturity, and funnel rows whose conversions aren't the detail's; and the
+    latter where each conversion is counted twice."""
     from sedgeflow.operators import releases
 
     f = facts(spark, sf_dir)
-    parts = attribution.steps(f, 1440)
+    parts = attribution.steps(f, JOURNEY_MINUTES)
     found = attribution.conversions(parts)
     funnel = attribution.funnel(parts, found)
+    twice = releases.unreconciled(found.union(found), funnel.where("converted > 0"), ["source", "channel", "date"], "converted").agg(F.count(F.lit(1)).alias("unreconciled"))
     bad = releases.unreconciled(found, funnel.where("converted > 0"), ["source", "channel", "date"], "converted").select(F.lit(1).alias("x"))
     bad = bad.union(releases.retention_faults(retention.retention(f, CUTOFF)).select(F.lit(1))).union(attribution.broken(funnel).select(F.lit(1)))
-    return bad.agg(F.count(F.lit(1)).alias("faults"))
+    return bad.agg(F.count(F.lit(1)).alias("faults")).join(F.broadcast(twice))  # a row each
+
+
+from sedgeflow import catalogue_io  # noqa: E402, F401  (registers its queries here)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
