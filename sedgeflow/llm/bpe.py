@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 #: Bytes, about, of the parts that a worker remembers; beyond this it starts afresh. Longer parts than
 #: LONG characters are forgotten with their group.
-HELD_BYTES, LONG = 128 << 20, 64
+HELD_BYTES, LONG = 64 << 20, 64
 #: Distinct new parts that one call of the library encodes, and their characters.
 BATCH, BATCH_CHARS = 4096, 1 << 18
 

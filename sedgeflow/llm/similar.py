@@ -27,6 +27,8 @@ BANDS, MINIMA = 64, 6
 #: Differing bits up to which two texts are compared by their sets. Similar ones differ in a bit with a
 #: chance of 0.15 (up to 0.2 if they are short): over 26 of 64 are met once in 100,000 pairs or less.
 RADIUS = 26
+#: Shingles whose occurrences are looked up at once.
+LOOKED_UP = 250_000
 #: Shingles of a group that one task holds; a group of more is dealt out in pairs of parts.
 GROUP_SHINGLES = 2_000_000
 
@@ -95,17 +97,18 @@ def forest(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
 
     def confirm(i: int, js: np.ndarray) -> np.ndarray:
-        js_ok = np.minimum(sizes[js], sizes[i]) * den >= np.maximum(sizes[js], sizes[i]) * num
         out = np.zeros(len(js), bool)
-        few = js[js_ok]
-        for lo in range(0, len(few), 256):
-            part = few[lo : lo + 256]
-            lens = sizes[part]
+        # Sets of too unlike sizes can't be similar.
+        left = np.flatnonzero(np.minimum(sizes[js], sizes[i]) * den >= np.maximum(sizes[js], sizes[i]) * num)
+        while len(left):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[js[left]]), LOOKED_UP)))
+            own, left = left[:n], left[n:]
+            lens = sizes[js[own]]
             last = np.cumsum(lens)
-            held = every[np.repeat(ends[part] - last, lens) + np.arange(last[-1])]
+            held = every[np.repeat(ends[js[own]] - last, lens) + np.arange(last[-1])]
             at = np.minimum(np.searchsorted(sets[i], held), len(sets[i]) - 1)
             common = np.add.reduceat((sets[i][at] == held).astype(np.int64), last - lens)
-            out[np.flatnonzero(js_ok)[lo : lo + 256]] = common * (num + den) >= num * (sizes[i] + lens)
+            out[own] = common * (num + den) >= num * (sizes[i] + lens)
         return out
 
     yield from simhash.forest(np.fromiter(map(fingerprint, sets), np.uint64, len(sets)), RADIUS, confirm=confirm)
