@@ -213,6 +213,22 @@ def log_identities(spark, sf_dir):
     return made.groupBy("request_id", "event_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@c.query("""SELECT 't' || (i % 100) AS key, epoch_us(TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * i) AS at_us, CASE WHEN i % 17 = 16 THEN 'd' ELSE 'u' END AS op,
+  CASE WHEN i % 17 <> 16 THEN ['open', 'pending', 'resolved'][(i // 100) % 3 + 1] END AS status, i AS version FROM range((SELECT count(*) FROM orders)) AS t(i)""")
+def archived_changes(spark, sf_dir):
+    """A made change log, as long as orders, archived in two runs by a stream and read back."""
+    from sedgeflow.sources import simulate
+    from sedgeflow.sources.envelopes import read_changes
+
+    top = scratch(spark)
+    log = simulate.changes(spark, c.read(spark, sf_dir, "orders").count())
+    for half in (F.col("kafka_partition") == 0, F.col("kafka_partition") != 0):
+        simulate.write_log(log.where(half), f"{top}/in")
+        simulate.archive(spark, f"{top}/in", f"{top}/out", f"{top}/checkpoint")
+    seen = history.normalise(read_changes(spark, f"{top}/out"))
+    return seen.select("key", F.unix_micros("at").alias("at_us"), "op", F.col("after.status").alias("status"), "version")
+
+
 # --- versioned tables -----------------------------------------------------------------------
 
 
