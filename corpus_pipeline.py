@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's result and
 reads it again as the next one's docs, so a lost executor costs no more than the stage at hand.
+
+Rows without an id go through every stage like others, by their texts, but are nobody's near-duplicate.
+Null and empty texts are rejected by the first stage; were one to reach a later stage, it would stay
+there and be written as a document without ids. Rows that are equal in all columns are near-duplicates of
+each other; rows that repeat an id with other texts are judged by their texts. Other columns ride along,
+whatever their names. An empty table gives an empty one, at every stage.
 """
 
 from __future__ import annotations
