@@ -260,7 +260,7 @@ def deduplicate(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep_
     held = stage(found, f"{folder}/passages", compression="zstd")
     shards = SHARDS * partitions(spark)
     sent = _needs(spark, held, folder, window, shards)
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(shards)).cast("int")  # rows without id aren't one task's
     rows = sent.unionByName(docs.select(shard.alias("shard"), F.lit(1).alias("kind"), "id", "text", F.lit(0).alias("at")))
     dealt = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "kind")
 
