@@ -109,7 +109,7 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     if not sources.groupBy("record_id").count().where("count > 1").isEmpty():
         least = F.min(F.struct("url", "payload", F.map_entries("headers").alias("headers"))).alias("s")
         response = response.groupBy("record_id").agg(least).select("record_id", "s.payload", F.map_from_entries("s.headers").alias("headers"))
-    response = stage(response.select(F.col("record_id").alias("source_id"), F.col("payload").alias("_payload"), F.col("headers").alias("_headers")), f"{folder}/responses", compression="zstd")
+    response = stage(response.select(F.col("record_id").alias("source_id"), F.col("payload").alias("_payload"), F.col("headers").alias("_headers")), f"{folder}/responses", "zstd")
     met = asked.join(response, "source_id", "left")
     tag = lambda h: F.regexp_replace(F.element_at(h, F.lit("etag")), r"\AW/", "")
     day = lambda h: F.element_at(h, F.lit("last-modified"))
