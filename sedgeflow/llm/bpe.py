@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 #: Bytes, about, of the parts that a worker remembers; beyond this it starts afresh. Longer parts than
 #: LONG characters are forgotten with their group.
-HELD_BYTES, LONG = 64 << 20, 64
+HELD_BYTES, LONG = 96 << 20, 64
 #: Distinct new parts that one call of the library encodes, and their characters.
 BATCH, BATCH_CHARS = 4096, 1 << 18
 
@@ -136,8 +136,12 @@ class Encoder:
     def _found(self, texts: list[str | None]) -> Iterator[Iterator[bytes]]:
         cut = [self.parts(t) if t else [] for t in texts]
         once = self.learn(cut)
-        known = self.ids.get
-        return ((known(p) or once[p] for p in parts) for parts in cut)
+        known = self.ids.__getitem__
+        for parts in cut:
+            if once and not once.keys().isdisjoint(parts):
+                yield (once[p] if p in once else known(p) for p in parts)
+            else:
+                yield map(known, parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as unsigned 32-bit little-endian integers."""
