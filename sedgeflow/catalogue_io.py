@@ -198,7 +198,7 @@ def serving_read(spark, sf_dir):
     url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     rows = metrics.daily(c.facts(spark, sf_dir).where("source = 'real'")).select(F.col("app").alias("APP"), F.col("business_date").cast("string").alias("DAY"), F.col("pv").alias("PV"), F.col("uv").alias("UV"))
     serving.write_table(rows, url, "DAILY", driver=driver)
-    back = serving.read_table(spark, url, "DAILY", driver).where("UV > 12")
+    back = serving.read_table(spark, url, "DAILY", driver, where="UV > 12")
     return back.select(F.col("APP").alias("app"), F.col("DAY").alias("business_date"), F.col("PV").alias("pv"), F.col("UV").alias("uv"))
 
 

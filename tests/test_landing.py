@@ -66,6 +66,25 @@ def test_serving(spark):
     assert {(r.business_date.day, r.pv) for r in serving.published(days, rows).collect()} == {(1, 9), (2, None)}
 
 
+def test_database_of_the_driver_alone(spark, monkeypatch):
+    """No task connects to it: the driver inserts and reads, batch by batch."""
+    monkeypatch.setattr(serving, "beyond_executors", lambda spark, url: True)
+    url, driver = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    made = [(date(2026, 1, 1 + n % 3), f"s{n}", None if n == 4 else n) for n in range(25)]
+    rows = spark.createDataFrame(made, "BUSINESS_DATE date, SNAPSHOT_ID string, PV long").repartition(3)
+    serving.write_table(rows.where("PV < 3"), url, "DAILY", driver=driver)
+    serving.write_table(rows, url, "DAILY", "overwrite", driver, batch=4)
+    assert sorted(map(tuple, serving.read_table(spark, url, "DAILY", driver).collect())) == sorted(made)
+    held = spark.read.format("jdbc").options(url=url, dbtable="DAILY", driver=driver).load()
+    assert sorted(r.PV for r in serving.copied(held, url, "DAILY", "PV >= 7", most=5).collect()) == list(range(7, 25))
+    assert serving.copied(held, url, "DAILY", "PV > 99").count() == 0
+
+
+def test_embedded_databases():
+    urls = ("jdbc:derby:memory:x;create=true", "jdbc:derby:/data/x", "jdbc:derby://host:1527/x", "jdbc:postgresql://host/x")
+    assert [bool(serving.EMBEDDED.match(u)) for u in urls] == [True, True, False, False]
+
+
 def test_kafka_needs_its_connector(spark):
     with pytest.raises(Exception, match="kafka"):
         envelopes.kafka_events(spark, "localhost:1", "t", 5)
