@@ -6,7 +6,6 @@ the operator makes of them.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import uuid
 from datetime import date, datetime, timedelta, timezone
@@ -20,6 +19,8 @@ from sedgeflow.sources.shared import list_files, read_text, scratch
 
 UTC = timezone.utc
 MONTH_END = datetime(2024, 2, 1, tzinfo=UTC)
+#: Rows of one batch of a snapshot.
+BATCH_ROWS = 50_000
 
 
 def _uuid(text):
@@ -121,14 +122,13 @@ def change_log(spark, sf_dir):
 
 @c.query(f"""WITH {c.FACTS} SELECT app, event_type, count(*) AS n, max(seq) AS last FROM f GROUP BY 1, 2""")
 def snapshot_scan(spark, sf_dir):
-    """Two batches of envelopes, named with their hashes by a manifest, read through it."""
+    """Batches of envelopes of bounded length, named with their hashes by a manifest, read through it."""
     from sedgeflow.sources import envelopes
 
-    lines, batches = _lines(_events(spark, sf_dir).withColumn("fault", F.lit(0))), []
-    for k, some in enumerate((F.length("value") % 2 == 0, F.length("value") % 2 == 1)):
-        path = _written(spark, lines.where(some).coalesce(1))
-        at = next(p for p, _ in list_files(spark, path) if p.endswith(".txt"))
-        batches.append({"batch_id": f"b{k}", "path": at, "sha256": hashlib.sha256(read_text(spark, at).encode()).hexdigest(), "valid": 1, "quarantined": 0})
+    path = scratch(spark)
+    _lines(_events(spark, sf_dir).withColumn("fault", F.lit(0))).write.option("maxRecordsPerFile", BATCH_ROWS).text(path, compression="gzip")
+    hashes = envelopes.digests(spark, [p for p, _ in list_files(spark, path) if p.endswith(".txt.gz")])
+    batches = [{"batch_id": f"b{k:06d}", "path": at, "sha256": h, "valid": 1, "quarantined": 0} for k, (at, h) in enumerate(sorted(hashes.items()))]
     paths, _ = envelopes.resolve_snapshot(spark, envelopes.write_snapshot(spark, scratch(spark), "events", "synthetic", batches), "events", "synthetic")
     return envelopes.read_events(spark, paths).groupBy("event.app", "event.event_type").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
 

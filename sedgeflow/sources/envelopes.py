@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sedgeflow.functions.contract import APPS, CHANGE, ENVELOPE, EVENT
 from sedgeflow.functions.time import aware
-from sedgeflow.sources.shared import exists, read_text, write_text
+from sedgeflow.sources.shared import exists, qualified, read_text, size, streamed_sha256, write_text
 
 CORRUPT = "_corrupt_record"
 #: An envelope whose event is still text.
@@ -72,9 +72,24 @@ class SnapshotError(ValueError):
     pass
 
 
-def _digest(spark: SparkSession, path: str) -> str:
-    body = read_text(spark, path)
-    return hashlib.sha256(body.encode()).hexdigest()
+#: Bytes up to which an executor reads a file whole to hash it; longer ones are streamed.
+WHOLE_BYTES = 32 << 20
+
+
+def digests(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """SHA-256 of each file's bytes: executors hash the files, the driver streams those of more than
+    WHOLE_BYTES through a fixed buffer. No file's text reaches the driver."""
+    held = {p: qualified(spark, p) for p in paths}
+    found, whole = {}, []
+    for at in set(held.values()):
+        if 0 < size(spark, at) <= WHOLE_BYTES:
+            whole.append(at)
+        else:  # a scan leaves empty files out
+            found[at] = streamed_sha256(spark, at)
+    if whole:
+        tasks = spark.read.format("binaryFile").load(whole).select("path", F.sha2("content", 256).alias("h"))
+        found |= {r["path"]: r["h"] for r in tasks.collect()}  # a row for each file
+    return {p: found[at] for p, at in held.items()}
 
 
 def write_snapshot(spark: SparkSession, path: str, kind: str, source: str, batches: list[dict]) -> str:
@@ -106,8 +121,9 @@ def resolve_snapshot(spark: SparkSession, path: str, kind: str, source: str, now
         now = aware(now or datetime.now(timezone.utc))
         if any((now - aware(datetime.fromisoformat(b["oldest"]))).days >= days for b in meta["batches"] if b.get("oldest")):
             raise SnapshotError("a batch has expired")
+    found = digests(spark, [b["path"] for b in meta["batches"]])
     for b in meta["batches"]:
-        if _digest(spark, b["path"]) != b["sha256"]:
+        if found.get(b["path"]) != b["sha256"]:
             raise SnapshotError(f"{b['path']} has changed")
     return [b["path"] for b in meta["batches"]], meta
 

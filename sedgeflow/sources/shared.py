@@ -31,6 +31,27 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as listings and rows' own file names have it."""
+    fs, at = _fs(spark, path)
+    return fs.makeQualified(at).toString()
+
+
+def size(spark: SparkSession, path: str) -> int:
+    fs, at = _fs(spark, path)
+    return fs.getFileStatus(at).getLen()
+
+
+def streamed_sha256(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file's bytes, read by the driver in small pieces."""
+    fs, at = _fs(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, at = _fs(spark, path)
     stream = fs.open(at)

@@ -17,6 +17,23 @@ from sedgeflow.sources.shared import read_text, scratch, write_text
 UTC = timezone.utc
 
 
+def test_files_are_hashed_by_executors(spark, monkeypatch):
+    """The driver reads the manifest alone, and streams what is too long for a task."""
+    top = scratch(spark)
+    bodies = {f"{top}/{n} %41.jsonl": "x\u00e9\n" * n for n in (0, 1, 5, 900)}
+    for at, body in bodies.items():
+        write_text(spark, at, body)
+    told = []
+    monkeypatch.setattr(envelopes, "read_text", lambda spark, at: told.append(at) or read_text(spark, at))
+    monkeypatch.setattr(envelopes, "WHOLE_BYTES", 1000)
+    expected = {at: hashlib.sha256(body.encode()).hexdigest() for at, body in bodies.items()}
+    assert envelopes.digests(spark, list(bodies)) == expected
+    batches = [{"batch_id": at, "path": at, "sha256": h, "valid": 1, "quarantined": 0} for at, h in expected.items()]
+    made = envelopes.write_snapshot(spark, top, "events", "synthetic", batches)
+    assert sorted(envelopes.resolve_snapshot(spark, made, "events", "synthetic")[0]) == sorted(bodies)
+    assert told == [made]
+
+
 def test_manifest_checks(spark):
     top = scratch(spark)
     write_text(spark, f"{top}/a.jsonl", "{}\n")
