@@ -19,7 +19,7 @@ from sedgeflow.sources.shared import list_files, read_text, scratch
 
 UTC = timezone.utc
 MONTH_END = datetime(2024, 2, 1, tzinfo=UTC)
-#: Rows of one batch of a snapshot.
+#: Rows of one file of compressed lines, which one task reads.
 BATCH_ROWS = 50_000
 
 
@@ -439,7 +439,7 @@ def stream_classes(spark, sf_dir):
         spark.conf.set(k, v)
     try:
         for lines in (_lines(e), _lines(again.unionByName(new))):
-            lines.write.mode("append").text(f"{top}/in")
+            lines.write.mode("append").option("maxRecordsPerFile", BATCH_ROWS).text(f"{top}/in", compression="gzip")
             streams.run(stream_events(spark, f"{top}/in"), "synthetic", f"{top}/out").awaitTermination()
     finally:
         for k, v in before.items():

@@ -14,7 +14,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -24,8 +24,11 @@ from sedgeflow.functions.time import instant
 
 WATERMARK = "30 seconds"
 LATENESS_MS = 600_000
-#: Keys over which rows that need no state are dealt.
-ALONE = 4096
+#: Groups of keys. A call takes all rows of a group, so that its cost is shared by many keys; a group's state
+#: is a map, of which only the keys of the batch are asked for. It is part of what checkpoints hold.
+GROUPS = 1024
+#: Groups of rows that need no state.
+ALONE = 256
 #: Days for which a seen id is remembered.
 STATE_DAYS = {"synthetic": 8, "real": 30}
 
@@ -39,32 +42,44 @@ ROW = T.StructType(
         T.StructField("reason", T.StringType()),
     ]
 )
+_KEY = T.StructType([T.StructField("key", T.StringType())])
 _SEEN = T.StructType([T.StructField("fingerprint", T.StringType())])
 
 
 class _Keyed(StatefulProcessor):
-    """One value for each key, forgotten after days."""
+    """One value for each key of a group, forgotten after days."""
 
     def __init__(self, days: int):
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", _SEEN, ttlDurationMs=self.days * 86_400_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).drop(columns=["key"]).sort_values("seq", kind="stable").reset_index(drop=True)
-        known = self.seen.get()[0] if self.seen.exists() else None
-        before = known
+        self.seen = handle.getMapState("seen", _KEY, _SEEN, ttlDurationMs=self.days * 86_400_000)
+
+    def handleInputRows(self, group, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).drop(columns=["group"]).sort_values("seq", kind="stable").reset_index(drop=True)
+        keys = batch.pop("key").tolist()
+        any_seen = self.seen.exists()
+        mark = timerValues.getCurrentWatermarkInMs()
+        known: dict[str, str | None] = {}
+        new: dict[str, str] = {}
         classes, reasons = [], []
-        for row in batch.itertuples(index=False):
-            said, why, known = self.judge(row, known, timerValues)
+        for key, row in zip(keys, batch.itertuples(index=False), strict=True):
+            if key is None:  # a row that needs no state
+                said, why, now = self.judge(row, None, mark)
+            else:
+                if key not in known:
+                    held = self.seen.getValue((key,)) if any_seen else None
+                    known[key] = held[0] if held is not None else None
+                said, why, now = self.judge(row, known[key], mark)
+                if now is not None and now != known[key]:
+                    known[key] = new[key] = now
             classes.append(said)
             reasons.append(why)
-        if known is not None and known != before:
-            self.seen.update((known,))
+        for key, value in new.items():
+            self.seen.updateValue((key,), (value,))
         yield batch.assign(**{"class": classes, "reason": reasons})
 
-    def judge(self, row, known, timers) -> tuple[str, str | None, str | None]:
+    def judge(self, row, known, mark) -> tuple[str, str | None, str | None]:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -72,12 +87,11 @@ class _Keyed(StatefulProcessor):
 
 
 class Events(_Keyed):
-    def judge(self, row, known, timers):
+    def judge(self, row, known, mark):
         if row[-2] == "quarantine":
             return "quarantine", "invalid_contract", known
         if known is not None:
             return ("duplicate", "event_duplicate", known) if known == row.fingerprint else ("quarantine", "event_id_conflict", known)
-        mark = timers.getCurrentWatermarkInMs()
         # The watermark is compared as bounded out-of-orderness has it, 1 ms earlier; 0 is none yet.
         if mark > 0 and int(row.event_time.timestamp() * 1000) < mark - 1 - LATENESS_MS:
             return "late", "late", known
@@ -85,7 +99,7 @@ class Events(_Keyed):
 
 
 class Requests(_Keyed):
-    def judge(self, row, known, timers):
+    def judge(self, row, known, mark):
         said, why = row[-2], row[-1]
         if said != "fact" or row.event_type != "request_complete":
             return said, why, known
@@ -114,19 +128,20 @@ def prepared(raw: DataFrame, source: str, apps: tuple[str, str] = APPS) -> DataF
     return rows.withWatermark("event_time", WATERMARK)
 
 
-def _keyed(rows: DataFrame, key) -> DataFrame:
-    """Rows that need no state share ALONE keys, which are spread evenly and cost few calls."""
-    return rows.withColumn("key", key)
+def _grouped(rows: DataFrame, key: Column):
+    """Rows by the group of their key; rows without a key are dealt evenly over groups of their own."""
+    alone = F.pmod(F.xxhash64("seq", "event_id", "business_key"), F.lit(ALONE)) + F.lit(GROUPS)
+    group = F.when(key.isNull(), alone).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS)))
+    return rows.withColumns({"key": key, "group": group}).groupBy("group")
 
 
 def classified(rows: DataFrame, source: str) -> DataFrame:
     """ROW with every row's class and reason; call it on what prepared() returns."""
     days = STATE_DAYS[source]
-    alone = F.concat(F.lit("alone:"), F.pmod(F.xxhash64("seq", "event_id", "business_key"), F.lit(ALONE)).cast("string"))
-    event = F.when(F.col("class") == "quarantine", alone).otherwise(F.concat_ws(":", F.lit("id"), "source", "app", "event_id"))
-    first = _keyed(rows, event).groupBy("key").transformWithStateInPandas(Events(days), ROW, "append", "ProcessingTime")
-    request = F.when((F.col("class") == "fact") & (F.col("event_type") == "request_complete"), F.concat_ws(":", F.lit("key"), "source", "app", "business_key")).otherwise(alone)
-    return _keyed(first, request).groupBy("key").transformWithStateInPandas(Requests(days), ROW, "append", "ProcessingTime")
+    event = F.when(F.col("class") != "quarantine", F.concat_ws(":", F.lit("id"), "source", "app", "event_id"))
+    first = _grouped(rows, event).transformWithStateInPandas(Events(days), ROW, "append", "ProcessingTime")
+    request = F.when((F.col("class") == "fact") & (F.col("event_type") == "request_complete"), F.concat_ws(":", F.lit("key"), "source", "app", "business_key"))
+    return _grouped(first, request).transformWithStateInPandas(Requests(days), ROW, "append", "ProcessingTime")
 
 
 def run(raw: DataFrame, source: str, path: str, interval: str | None = None):

@@ -3,6 +3,7 @@
 import json
 import uuid
 
+import pandas as pd
 import pytest
 
 from sedgeflow.plans.session import STREAM_SETTINGS
@@ -50,6 +51,46 @@ def test_classes(stream_spark, tmp_path):
     }
 
 
+class Timers:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+class Asked(dict):
+    """A map state that counts what is asked for and written."""
+
+    asked = written = 0
+
+    def exists(self):
+        return bool(self)
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.written += 1
+        self[key] = value
+
+
+def test_many_keys_a_call():
+    """A call takes the rows of many keys, asks once for each key and writes the new ones."""
+    held, at = dedup.Events(8), pd.Timestamp("2026-01-01")
+    held.seen = Asked()
+
+    def call(*rows):
+        made = [(s, "x", "site", k, "page_view", k, at, f, "fact" if k else "quarantine", None, k, 7) for s, k, f in rows]
+        frame = pd.DataFrame(made, columns=[*dedup.ROW.names, "key", "group"])
+        (out,) = held.handleInputRows((7,), iter([frame[:2], frame[2:]]), Timers())
+        return dict(zip(out["seq"], out["class"], strict=True))
+
+    first = call((3, "a", "f"), (1, "a", "f"), (2, "b", "g"), (4, "a", "h"), (5, None, None))
+    assert list(first.values()) == ["fact", "fact", "duplicate", "quarantine", "quarantine"]
+    assert (held.seen.asked, held.seen.written, len(held.seen)) == (0, 2, 2)
+    assert list(call((6, "a", "f"), (7, "c", "f"), (8, "a", "x"), (9, "c", "f")).values()) == ["duplicate", "fact", "quarantine", "duplicate"]
+    assert (held.seen.asked, held.seen.written, len(held.seen)) == (2, 3, 3)
+
+
 def test_upsert_batches_again(spark):
     t = Table(spark, scratch(spark))
     rows = spark.createDataFrame([("s", "a", "k", 5, 1), ("s", "a", "k", 3, 2), ("s", "a", "l", 4, 3)], "source string, app string, business_key string, seq long, v int")
