@@ -1,11 +1,12 @@
-"""Encoding whole texts with a public tokenizer, in batches of pieces cut at safe boundaries.
+"""Encoding whole texts with a public tokenizer, by remembered parts cut at safe boundaries.
 
 A byte-level BPE without normaliser cuts a text into pieces before it merges. Such a piece is a run of
 letters, of digits, of other signs or of white space, the first three perhaps behind one space. So a
 piece always starts at a space before a character that is no white space, at a line end behind one,
 and at a punctuation mark behind a letter or digit: there a text may be cut, and equal parts have equal
-ids wherever they stand. The library encodes each distinct part of a group of texts once, in batches,
-and a text's ids are its parts' ids in order. A run of letters that nothing interrupts is one piece
+ids wherever they stand. A text is split at spaces and each part is looked up; one that isn't known is cut
+further, and what is still unknown goes to the model, or to the library if it isn't one piece. Words are
+remembered, words with their marks aren't: those are made of what is remembered. A run of letters that nothing interrupts is one piece
 however long it is. The strings of special tokens are cut out first. Tokenizers of any other kind get
 whole texts.
 """
@@ -17,19 +18,16 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterator
 
 #: Bytes, about, of the parts that a worker remembers; beyond this it starts afresh. Longer parts than
 #: LONG characters are forgotten with their group.
 HELD_BYTES, LONG = 96 << 20, 64
-#: Distinct new parts that one call of the library encodes, and their characters.
-BATCH, BATCH_CHARS = 4096, 1 << 18
-
 _CUT = re.compile(r" (?=\S)")
-#: Further cuts, in parts that are long without any space.
-_FINER = re.compile(r"(?<=\S)(?=\n)|(?<=[^\W_])(?=[.,;:!?\u2026\u3001\u3002\uff0c\uff01\uff1f\uff1b\uff1a\u300c\u300d\uff08\uff09])")
-#: A part of letters only: the pre-tokenizer leaves it whole, so the model takes it at once.
-_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Further cuts: before a line end and behind a single one, around marks.
+_FINER = re.compile(r"(?<=\S)(?=\n)|(?<=\S\n)(?=\S)|(?<=[^\W_])(?=[.,;:!?\u2026\u3001\u3002\uff0c\uff01\uff1f\uff1b\uff1a\u300c\u300d\uff08\uff09])|(?<=[.,;:!?])(?=[A-Za-z0-9])")
+_MARKS = ".,;:!?"
+#: One piece: the pre-tokenizer leaves it whole, so the model takes it at once.
+_PIECE = re.compile(" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[.,;:!?]+)|\n")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,6 +50,21 @@ def encoder(path: str) -> "Encoder":
     return _loaded[path]
 
 
+class Unsafe(Exception):
+    """A space before white space: no text may be cut there."""
+
+
+class Parts(dict):
+    """The ids of lead + key, for the keys that were asked for."""
+
+    def __init__(self, encoder: "Encoder", lead: str):
+        super().__init__()
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, key: str) -> bytes:
+        return self.encoder.learn(self, key)
+
+
 class Encoder:
     def __init__(self, path: str):
         self.sp = self.lib = None
@@ -78,7 +91,8 @@ class Encoder:
         special = {t["content"]: t for t in made.get("added_tokens", [])}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.splits = self.splits and not any(t.get(k) for t in special.values() for k in ("lstrip", "rstrip", "single_word"))
-        self.ids: dict[str, bytes] = {}
+        #: Parts behind a space, by what follows it, and other parts.
+        self.ids, self.bare = Parts(self, " "), Parts(self, "")
         self.fixed = {text: self._bytes([t["id"]]) for text, t in special.items()}
         self.held = 0
 
@@ -92,64 +106,59 @@ class Encoder:
         if self.special is not None and self.special.search(text):
             return [p for k, x in enumerate(self.special.split(text)) if x for p in ([x] if k % 2 else self.parts(x))]
         head, *rest = _CUT.split(text)
-        made = [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-        if len(text) > (LONG >> 1) * len(made):
-            made = [q for p in made for q in ([p] if len(p) <= LONG else _FINER.split(p))]
-        return made
-
-    def learn(self, cut: list[list[str]]) -> dict[str, bytes]:
-        """Asks the library for the parts of some texts that aren't known yet; the ids of the parts of
-        these texts that aren't remembered."""
-        parts = set().union(*cut)
-        new = [p for p in parts if p not in self.ids]
-        if self.held > HELD_BYTES:
-            self.ids.clear()
-            self.held = 0
-            new = list(parts)
-        once = {}
-        for p in new:
-            if p in self.fixed:
-                once[p] = self.fixed[p]
-            elif _LETTERS.fullmatch(p):
-                self._keep(p, self._word(p), once)
-        new = [p for p in new if p not in self.ids and p not in once]
-        while new:
-            n = chars = 0
-            while n < len(new) and n < BATCH and (chars := chars + len(new[n])) <= BATCH_CHARS:
-                n += 1
-            n = max(n, 1)
-            for p, ids in zip(new[:n], self.whole(new[:n]), strict=True):
-                self._keep(p, self._bytes(ids), once)
-            del new[:n]
-        return once
-
-    def _keep(self, part: str, ids: bytes, once: dict[str, bytes]) -> None:
-        if len(part) > LONG:
-            once[part] = ids
+        return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
+
+    def learn(self, memo: Parts, key: str) -> bytes:
+        """The ids of a part that isn't remembered."""
+        if memo.lead and (not key or key[0].isspace()):
+            raise Unsafe
+        if not memo.lead and key in self.fixed:
+            return self.fixed[key]
+        word = key.rstrip(_MARKS)
+        if len(word) < len(key) and word[-1:].isalnum():
+            return memo[word] + self.bare[key[len(word) :]]
+        part = memo.lead + key
+        if key.isascii() and key.isalpha():
+            ids = self._word(part)
+        elif _PIECE.fullmatch(part):
+            ids = self._word(part)
         else:
-            self.ids[part] = ids
-            self.held += 4 * len(part) + len(ids) + 160  # both objects and their place in the dictionary
+            first, *rest = _FINER.split(part)
+            if rest:
+                return b"".join([memo[first[len(memo.lead) :]], *map(self.bare.__getitem__, rest)])
+            ids = self._bytes(self.lib.encode(part, add_special_tokens=False).ids)
+        if len(part) <= LONG:
+            if self.held > HELD_BYTES:
+                self.ids.clear()
+                self.bare.clear()
+                self.held = 0
+            memo[key] = ids
+            self.held += 4 * len(key) + len(ids) + 160  # both objects and their place in the dictionary
+        return ids
 
     def _word(self, part: str) -> bytes:
-        return self._bytes([t.id for t in self.lib.model.tokenize(part.encode().decode("latin-1").translate(_BYTES))])
-
-    def _found(self, texts: list[str | None]) -> Iterator[Iterator[bytes]]:
-        cut = [self.parts(t) if t else [] for t in texts]
-        once = self.learn(cut)
-        known = self.ids.__getitem__
-        for parts in cut:
-            if once and not once.keys().isdisjoint(parts):
-                yield (once[p] if p in once else known(p) for p in parts)
-            else:
-                yield map(known, parts)
+        letters = part.replace(" ", _BYTES[32]) if part.isascii() and part != "\n" else part.encode().decode("latin-1").translate(_BYTES)
+        return self._bytes([t.id for t in self.lib.model.tokenize(letters)])
+
+    def _found(self, text: str | None) -> list[bytes]:
+        """The ids of a text's parts in order."""
+        if not text:
+            return []
+        if self.special is None or not self.special.search(text):
+            head, *rest = text.split(" ")
+            try:
+                return [self.bare[head] if head else b"", *map(self.ids.__getitem__, rest)]
+            except Unsafe:
+                pass
+        return [self.ids[p[1:]] if p[0] == " " and p[1:] and not p[1].isspace() else self.bare[p] for p in self.parts(text)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as unsigned 32-bit little-endian integers."""
-        return [b"".join(found) for found in self._found(texts)] if self.splits else [self._bytes(x) for x in self.whole([t or "" for t in texts])]
+        return [b"".join(self._found(t)) for t in texts] if self.splits else [self._bytes(x) for x in self.whole([t or "" for t in texts])]
 
     def lengths(self, texts: list[str | None]) -> list[int]:
         """How many ids each text has; they aren't put together."""
-        return [sum(map(len, found)) // 4 for found in self._found(texts)] if self.splits else list(map(len, self.whole([t or "" for t in texts])))
+        return [sum(map(len, self._found(t))) // 4 for t in texts] if self.splits else list(map(len, self.whole([t or "" for t in texts])))
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:

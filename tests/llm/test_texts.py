@@ -102,6 +102,16 @@ def test_remembered_parts_are_bounded_by_bytes(monkeypatch):
         assert e.held < 20_000 + 160 * 45 + 60_000 and all(len(p) <= bpe.LONG for p in e.ids)
 
 
+def test_words_with_marks_are_made_of_remembered_parts():
+    """Twelve forms of a hundred words take the place of a hundred, and a text is split at spaces once."""
+    e, t = bpe.Encoder(PATH), Tokenizer.from_file(PATH)
+    words = ["q" + "".join(random.Random(n).choices("abcdefgh", k=7)) for n in range(100)]
+    for tail in ("", ",", ".", "!!", ".\nAnd", "?\nAnd", ":", ";", "...", ",and", "\nAnd", "\n\nAnd"):
+        text = "".join(f" {w}{tail}" for w in words)
+        assert memoryview(e.encode([text])[0]).cast("I").tolist() == t.encode(text, add_special_tokens=False).ids, repr(tail)
+    assert len(e.ids) + len(e.bare) < 120
+
+
 def test_groups_are_balanced_by_bytes():
     import pyarrow as pa
 
