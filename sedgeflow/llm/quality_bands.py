@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sedgeflow.llm.common import bounded, labelled, numbered, pick, place, shared_dir
+from sedgeflow.llm.common import bounded, numbered, pick, place, shared_dir, stage
 
 #: A length class for each: (bytes from which it holds, least ratio, greatest ratio) at zstandard level 3.
 Bands = tuple[tuple[int, float, float], ...]
@@ -21,9 +23,10 @@ CHUNK = 4096
 #: Greatest share of a document's bytes in chunks outside their band.
 BAD_SHARE = 0.25
 LEVEL = 3
-#: Most labelled rows that bands are fitted to, least texts of a class, share of good texts left out at
-#: each end, and the room beyond them.
-TRAIN_ROWS, LEAST_TEXTS, TAIL, ROOM = 20_000, 50, 0.002, 0.03
+#: Least texts of a class, share of good texts left out at each end, and the room beyond them.
+LEAST_TEXTS, TAIL, ROOM = 50, 0.002, 0.03
+#: Bins of ratios, to a unit of ratio, in which ranks are looked for.
+BINS = 4096
 
 _SYMBOLS = "#*$%&|<>"
 _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -81,22 +84,27 @@ def ratios(data: bytes, compressor: zstandard.ZstdCompressor, bands: Bands = BAN
     return whole, bad / len(data)
 
 
-def judge(text: str | None, compressor: zstandard.ZstdCompressor, bands: Bands = BANDS) -> tuple:
-    """The values of COUNTS for one text."""
-    text = text or ""
-    data = text.encode()
+def base(data: bytes) -> tuple[int, int, bool]:
+    """n_words, n_repeat_words, base_failed."""
     found = data.split()  # bytes split at ASCII white space only
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found))
     n_repeat = repeated(ids, 8)
-    failed = len(found) < 20 or 100 * n_repeat > 30 * len(found)
+    return len(found), n_repeat, len(found) < 20 or 100 * n_repeat > 30 * len(found)
+
+
+def judge(text: str | None, compressor: zstandard.ZstdCompressor, bands: Bands = BANDS) -> tuple:
+    """The values of COUNTS for one text."""
+    text = text or ""
+    data = text.encode()
+    n_words, n_repeat, failed = base(data)
     ratio, bad = ratios(data, compressor, bands) if data else (None, 0.0)
     kept = not failed
     if kept:
         low, high = band(len(data), bands)
         kept = low <= ratio <= high and bad <= BAD_SHARE
     return (
-        len(found),
+        n_words,
         len(text) - sum(map(text.count, _SPACES)),
         sum(map(text.count, _SYMBOLS)),
         duplicate_lines(text),
@@ -108,36 +116,77 @@ def judge(text: str | None, compressor: zstandard.ZstdCompressor, bands: Bands =
     )
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Bands:
-    """BANDS, fitted to the labelled texts of quality 1 outside the held-out fold (see labelled): for
-    each length class of LEAST_TEXTS such texts or more, all but a share TAIL of their ratios at
-    either end lie inside, and ROOM is left beyond that. Texts that the base rules reject, null
-    and empty ones don't count. At most train_rows rows are read and a pair of numbers of each
-    reaches the driver; without labels the bands are BANDS."""
-    bounded(docs.sparkSession)
-    texts = labelled(docs, labels, "quality", train_rows, shared_dir(docs.sparkSession)).where("label = 1").select("text")
+def learn(docs: DataFrame, labels: DataFrame) -> Bands:
+    """BANDS, fitted to all labelled texts of quality 1 outside the held-out fold (crc32 of the id's text
+    mod 5 is 0): for each length class of LEAST_TEXTS such texts or more, all but a share TAIL of
+    their ratios at either end lie inside, and ROOM is left beyond that. Equal texts stand once, with
+    their greatest label, as do ids that are labelled twice. Texts that the base rules reject, null and
+    empty ones don't count; without labels the bands are BANDS.
+
+    Every text outside the fold is measured where it lies, and its measures meet the labels: no text is
+    shuffled."""
+    spark = docs.sparkSession
+    bounded(spark)
+    fold = "doc_id IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
-            kept = [(len(t.encode()), made[6]) for t in batch.column(0).to_pylist() if t and not (made := judge(t, compressor))[5]]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.int64()), pa.array([r for _, r in kept], pa.float64())], names=["n", "ratio"])
-
-    rows = texts.mapInArrow(run, "n long, ratio double").collect()
-    return fitted([(r["n"], r["ratio"]) for r in rows])
-
-
-def fitted(seen: list[tuple[int, float]]) -> Bands:
-    """Bands of (bytes, ratio) of good texts."""
-    out = []
-    for k, (least, low, high) in enumerate(BANDS):
-        end = BANDS[k + 1][0] if k + 1 < len(BANDS) else None
-        own = [r for n, r in seen if n >= least and (end is None or n < end)]
-        if len(own) >= LEAST_TEXTS:
-            a, b = np.quantile(own, [TAIL, 1 - TAIL])
-            low, high = float(a) * (1 - ROOM), float(b) * (1 + ROOM)
-        out.append((least, low, high))
-    return tuple(out)
+            made = [(i, len(d), len(compressor.compress(d)) / len(d), hashlib.md5(d).digest()) for i, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not base(d)[2]]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=["doc_id", "n", "ratio", "h"])
+
+    texts = pick(docs, doc_id="long", text="binary").where(fold).where("length(text) > 0")
+    measured = texts.mapInArrow(run, "doc_id long, n long, ratio double, h binary")
+    ids = pick(labels, doc_id="long", quality="int").toDF("doc_id", "label").where(fold).where("label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
+    once = measured.join(ids, "doc_id").groupBy("h").agg(F.first("n").alias("n"), F.first("ratio").alias("ratio"), F.max("label").alias("label"))
+    return fitted(stage(once.where("label = 1").select("n", "ratio"), f"{shared_dir(spark)}/good"))
+
+
+def fitted(seen: DataFrame) -> Bands:
+    """Bands of good texts' n (bytes) and ratio, by numpy's linear quantiles of all of them. Counts by bin say
+    which bins hold the ranks; only the values of those reach the driver."""
+    of = F.lit(0)
+    for k, (least, _, _) in enumerate(BANDS):
+        of = F.when(F.col("n") >= least, k).otherwise(of)
+    held = seen.select(of.alias("k"), "ratio", F.floor(F.col("ratio") * BINS).alias("bin"))
+    bins: dict[int, list[tuple[int, int]]] = {}
+    for r in held.groupBy("k", "bin").agg(F.count(F.lit(1)).alias("c")).collect():
+        bins.setdefault(r["k"], []).append((r["bin"], r["c"]))
+    sizes = {k: sum(c for _, c in x) for k, x in bins.items()}
+    wanted: dict[tuple[int, int], tuple[int, int]] = {}  # (class, rank): bin, ranks before it
+    for k, n in sizes.items():
+        if n < LEAST_TEXTS:
+            continue
+        for q in (TAIL, 1 - TAIL):
+            low, _ = divmod(q * (n - 1), 1)
+            for rank in (int(low), min(int(low) + 1, n - 1)):
+                before = 0
+                for b, c in sorted(bins[k]):
+                    if rank < before + c:
+                        wanted[k, rank] = (b, before)
+                        break
+                    before += c
+    values: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    if wanted:
+        some = seen.sparkSession.createDataFrame(sorted({(k, b) for (k, _), (b, _) in wanted.items()}), "k int, bin long")
+        for r in held.join(F.broadcast(some), ["k", "bin"]).groupBy("k", "bin", "ratio").agg(F.count(F.lit(1)).alias("c")).collect():
+            values.setdefault((r["k"], r["bin"]), []).append((r["ratio"], r["c"]))
+
+    def at(k: int, rank: int) -> float:
+        b, before = wanted[k, rank]
+        for v, c in sorted(values[k, b]):
+            before += c
+            if rank < before:
+                return v
+        raise AssertionError("the counts don't agree")
+
+    def quantile(k: int, q: float) -> float:
+        low, part = divmod(q * (sizes[k] - 1), 1)
+        a, b = at(k, int(low)), at(k, min(int(low) + 1, sizes[k] - 1))
+        return a + (b - a) * part if part < 0.5 else b - (b - a) * (1 - part)
+
+    return tuple((least, quantile(k, TAIL) * (1 - ROOM), quantile(k, 1 - TAIL) * (1 + ROOM)) if sizes.get(k, 0) >= LEAST_TEXTS else (least, low, high) for k, (least, low, high) in enumerate(BANDS))
 
 
 def quality(df: DataFrame, bands: Bands = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
